@@ -10,6 +10,7 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,3 +102,22 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         if k > max_rounds:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(now.select(F.col("b").alias("node"), F.col("a").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def roots(parent: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[parent]
+        if (up == parent).all():
+            return parent
+        parent = up
+
+
+def merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Union of index pairs; roots are the smallest indices."""
+    while len(a):
+        parent = roots(parent)
+        ra, rb = parent[a], parent[b]
+        differ = ra != rb
+        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+    return roots(parent)

@@ -3,27 +3,48 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, sharding, simhash_vp, toxicity
+from . import decontam, embed_codes, katz_lm, line_dedup, mixing, repeats, sharding, simhash_vp, toxicity, url_graph
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_template_dedup(spark, sf_dir):
+    out = line_dedup.drop_recurring_lines(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op2_katz_backoff(spark, sf_dir):
+    return katz_lm.score_corpus(_read(spark, sf_dir, "documents"))
+
+
 def op3_byte_prefix_shards(spark, sf_dir):
     out = sharding.shard_by_bytes(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_prefix_free_repeats(spark, sf_dir):
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op5_prefix_filtered_decontamination(spark, sf_dir):
     return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_host_trust(spark, sf_dir):
+    return url_graph.judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def op7_simhash_vantage_tree(spark, sf_dir):
     out = simhash_vp.simhash_components(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_rotated_codes(spark, sf_dir):
+    return embed_codes.near_embeddings(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_temperature_mixing(spark, sf_dir):
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -32,7 +53,7 @@ def op10_compression_toxicity(spark, sf_dir):
     return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-_DOC_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+_DOC_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 ORACLES = {
     "op5_prefix_filtered_decontamination": rf"""
@@ -48,6 +69,15 @@ it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_s
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op8_rotated_codes": """
+WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+ok AS (SELECT vec_id, v FROM e WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT reach.x, p.y FROM reach JOIN p ON reach.y = p.x),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n_links FROM p GROUP BY x)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM e JOIN c ON c.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id""",
 }
 
-QUERIES = {f.__name__: f for f in (op3_byte_prefix_shards, op5_prefix_filtered_decontamination, op7_simhash_vantage_tree, op9_temperature_mixing, op10_compression_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_template_dedup, op2_katz_backoff, op3_byte_prefix_shards, op4_prefix_free_repeats, op5_prefix_filtered_decontamination, op6_host_trust, op7_simhash_vantage_tree, op8_rotated_codes, op9_temperature_mixing, op10_compression_toxicity)}

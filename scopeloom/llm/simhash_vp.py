@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, ship
+from .common import Scratch, connected_components, merge, roots, ship
 
 ship(__name__)
 
@@ -115,25 +115,6 @@ def near_pairs(points: np.ndarray, queries: np.ndarray, reach: int, leaf: int =
                 yield p[x], q[i + y]
 
 
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[parent]
-        if (up == parent).all():
-            return parent
-        parent = up
-
-
-def merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Union of index pairs into ``parent`` (roots are the smallest indices), vectorised."""
-    while len(a):
-        parent = _roots(parent)
-        ra, rb = parent[a], parent[b]
-        differ = ra != rb
-        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-    return _roots(parent)
-
-
 def link_fingerprints(distinct: DataFrame, scratch: Scratch, reach: int = 3, per_shard: int = 65_536, sample: int = 8_192) -> DataFrame:
     """Edges (a, b) that join exactly the connected classes of fingerprints at ``reach`` or fewer differing bits.
 
@@ -167,7 +148,7 @@ def link_fingerprints(distinct: DataFrame, scratch: Scratch, reach: int = 3, per
             keep = p != q
             if keep.any():
                 parent = merge(parent, p[keep], q[keep])
-        parent = _roots(parent)
+        parent = roots(parent)
         child = np.flatnonzero(parent != np.arange(len(x)))
         return pa.table({"a": x[parent[child]], "b": x[child]})
 
