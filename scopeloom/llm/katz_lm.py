@@ -14,16 +14,16 @@ ship(__name__)
 
 _LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CUT = 5  # counts up to this one are discounted
-_BOS, _END = 0, 1  # local numbers of the two markers
-_BLOCK = pa.schema([("block", pa.int64()), ("n_docs", pa.int64()), ("blob", pa.binary())])
+_BLOCK = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("blob", pa.binary())])
 
 
 def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
     return zlib.crc32(str(doc_id).encode()) % folds == fold if doc_id is not None else False
 
 
-def encode_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, block_bytes: int = 6_000_000) -> DataFrame:
-    """The corpus as blocks of local word numbers; the texts are read and split once."""
+def encode_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, n_parts: int, block_bytes: int = 6_000_000) -> DataFrame:
+    """The corpus as blocks of local word numbers; the texts are read and split once. Words are numbered in the order in which
+    they are dealt, so that later steps need only the bounds of the partitions, not the words' hashes."""
 
     def run(batches):
         import xxhash
@@ -33,12 +33,14 @@ def encode_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
             names = [b"\x00<s>", b"\x00</s>", *words]
             hashes = np.array([xxhash.xxh64_intdigest(w, 7) for w in names], np.uint64)
             train = np.array([not held_out(i) for i in ids])
-            code = np.array(codes, np.uint32)
-            flag = np.repeat(train, lengths)
-            counts = np.bincount(code[flag], minlength=len(names)).astype(np.int64)
-            counts[_BOS] = train.sum()
-            blob = pack({"ids": [-1 if i is None else i for i in ids], "null": [i is None for i in ids], "code": code, "len": np.array(lengths, np.int64), "train": train, "hash": hashes, "count": counts})
-            return (TaskContext.get().partitionId() << 32) + number, len(ids), blob
+            order, bounds = deal(hashes, n_parts)
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            code = rank[np.array(codes, np.uint32)]
+            counts = np.bincount(code[np.repeat(train, lengths)], minlength=len(names)).astype(np.int64)
+            counts[rank[0]] = train.sum()
+            blob = pack({"ids": np.array([-1 if i is None else i for i in ids], np.int64), "null": np.array([i is None for i in ids]), "code": code, "len": np.array(lengths, np.int64), "train": train, "bos": int(rank[0]), "bounds": bounds})
+            return (TaskContext.get().partitionId() << 32) + number, pack((hashes[order], counts)), blob
 
         ids, codes, lengths, words, size, number = [], [], [], {}, 0, 0
 
@@ -48,7 +50,7 @@ def encode_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
                 for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                     tokens = (t.as_py() or "").encode("utf-8", "replace").translate(_LOW).split()
                     codes += [words.setdefault(w, len(words) + 2) for w in tokens]
-                    codes.append(_END)
+                    codes.append(1)
                     ids.append(i)
                     lengths.append(len(tokens) + 1)
                     size += sum(map(len, tokens)) + len(tokens) + 8
@@ -61,7 +63,7 @@ def encode_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
         yield from to_batches(rows(), _BLOCK, 8_000_000)
 
     slim = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return scratch.table(slim.mapInArrow(run, "block long, n_docs long, blob binary"), "blocks")
+    return scratch.table(slim.mapInArrow(run, "block long, words binary, blob binary"), "blocks")
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -85,8 +87,8 @@ def _pairs(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.cumsum(lengths) - lengths
     before = np.empty_like(code)
     before[1:] = code[:-1]
-    before[starts] = _BOS
-    flat = before * len(block["hash"]) + code
+    before[starts] = block["bos"]
+    flat = before * int(block["bounds"][-1]) + code
     distinct, which = np.unique(flat, return_inverse=True)
     return distinct, which, np.bincount(which[np.repeat(block["train"], lengths)], minlength=len(distinct))
 
@@ -107,14 +109,13 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
-    blocks = encode_blocks(docs, scratch, id_col, text_col)
-    size = blocks.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
-    n_parts = max(shuffle_partitions(spark), int(size * 4 // partition_bytes) + 1)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n_parts = max(shuffle_partitions(spark), int(size // partition_bytes) + 1)
+    blocks = encode_blocks(docs, scratch, id_col, text_col, n_parts)
 
     def ask_words(row):
-        b = unpack(row["blob"])
-        order, bounds = deal(b["hash"], n_parts)
-        yield from questions(row["block"], order, bounds, [b["hash"], b["count"]])
+        hashes, counts = unpack(row["words"])
+        yield from questions(row["block"], *deal(hashes, n_parts), [hashes, counts])
 
     import xxhash
 
@@ -135,7 +136,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield -1, pack([real.sum(), (real > 0).sum(), _classes(real)])
         yield -2, pack([number, counts])
 
-    words = answer(ask(blocks, ask_words), scratch, "words", count_words)
+    words = answer(ask(blocks.select("block", "words"), ask_words), scratch, "words", count_words)
     stats = [unpack(bytes(x[0])) for x in words.where("block = -1").select("blob").collect()]  # a few numbers a partition
     n_train, n_types = int(sum(s[0] for s in stats)), int(sum(s[1] for s in stats))
     classes = sum((s[2] for s in stats), np.zeros(_CUT + 3, np.int64))
@@ -151,12 +152,11 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     told = lambda df, tag: df.where("block >= 0").select("block", "r", "blob", F.lit(tag).alias("tag"))
 
     def looked_up(b, replies):
-        order, bounds = deal(b["hash"], n_parts)
-        return answers({r: x for t, r, x in replies if t == "w"}, order, bounds, [np.uint64, np.int64])
+        return answers({r: x for t, r, x in replies if t == "w"}, np.arange(b["bounds"][-1]), b["bounds"], [np.uint64, np.int64])
 
     def keyed(b, number):
         distinct, which, counts = _pairs(b)
-        v, w = np.divmod(distinct, len(b["hash"]))
+        v, w = np.divmod(distinct, int(b["bounds"][-1]))
         part = (number[v] * np.uint64(0x9E3779B97F4A7C15) + number[w] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
         part %= np.uint64(n_parts)
         order = np.lexsort((number[w], number[v], part))
@@ -167,12 +167,17 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         number, count = looked_up(b, replies)
         which, counts, v, w, order, bounds = keyed(b, number)
         narrow = np.uint32 if number.max() < 1 << 32 else np.uint64
-        yield from questions(row["block"], order, bounds, [number[v].astype(narrow), number[w].astype(narrow), counts.astype(np.uint32), count[w].astype(np.uint32 if n_train < 1 << 32 else np.int64)])
+        cols = [number[v].astype(narrow), number[w].astype(narrow), counts.astype(np.uint32), count[w].astype(np.uint32 if n_train < 1 << 32 else np.int64)]
+        cols = [c[order] for c in cols]
+        for r in np.flatnonzero(np.diff(bounds)):
+            h, *rest = (c[bounds[r] : bounds[r + 1]] for c in cols)
+            yield int(r), row["block"], pack([np.diff(h, prepend=h.dtype.type(0)), *rest])  # sorted histories: differences are small
 
     asked = with_replies(blocks.select("block", "blob"), told(words, "w"), ask_pairs, "r int, block long, blob binary", pa.schema([("r", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())]))
 
     def count_pairs(r, names, cols):
-        v, w, n, cw = (np.concatenate([c[i] for c in cols]).astype(np.uint64) for i in range(4))
+        v = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in cols])
+        w, n, cw = (np.concatenate([c[i] for c in cols]).astype(np.uint64) for i in (1, 2, 3))
         order = np.lexsort((w, v))
         v, w, n, cw = v[order], w[order], n[order].astype(np.int64), cw[order].astype(np.int64)
         first = np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])]
@@ -229,14 +234,13 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def evaluate(row, replies):
         b = unpack(row["blob"])
         number, count = looked_up(b, replies)
-        order, bounds = deal(b["hash"], n_parts)
-        alpha, total = answers({r: x for t, r, x in replies if t == "a"}, order, bounds, [np.float64, np.float64])
+        alpha, total = answers({r: x for t, r, x in replies if t == "a"}, np.arange(b["bounds"][-1]), b["bounds"], [np.float64, np.float64])
         which, _, v, w, order, bounds = keyed(b, number)
         (seen,) = answers({r: x for t, r, x in replies if t == "p"}, order, bounds, [np.int64])
         d = np.where(seen <= _CUT, d2[np.minimum(seen, _CUT)], 1.0)
         p = np.where(seen > 0, d * seen / total[v], alpha[v] * unigram(count[w]))
         logs, base = np.log10(p)[which], np.log10((count + 1) / (n_train + n_types + 1))[b["code"]]
         at = np.cumsum(b["len"]) - b["len"]
-        yield from zip([None if z else i for i, z in zip(b["ids"], b["null"])], (~b["train"]).tolist(), b["len"].tolist(), np.add.reduceat((count[b["code"]] > 0).astype(np.int64), at).tolist(), [n_train] * len(at), np.add.reduceat(base, at).tolist(), np.add.reduceat(logs, at).tolist())
+        yield from zip([None if z else i for i, z in zip(b["ids"].tolist(), b["null"].tolist())], (~b["train"]).tolist(), b["len"].tolist(), np.add.reduceat((count[b["code"]] > 0).astype(np.int64), at).tolist(), [n_train] * len(at), np.add.reduceat(base, at).tolist(), np.add.reduceat(logs, at).tolist())
 
     return with_replies(blocks.select("block", "blob"), everything, evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", schema)
