@@ -15,6 +15,10 @@ from .common import Scratch, ship
 ship(__name__)
 
 
+#: First of the three parts that stand for an array in packed data.
+_MARK = "byte planes"
+
+
 def _planes(x):
     """Arrays of wider integers byte by byte: the upper bytes, nearly all zero, then compress to nothing."""
     if isinstance(x, (list, tuple)):
@@ -22,14 +26,14 @@ def _planes(x):
     if isinstance(x, dict):
         return {k: _planes(v) for k, v in x.items()}
     if isinstance(x, np.ndarray) and x.dtype.kind in "iu" and x.dtype.itemsize > 1 and x.ndim == 1 and len(x):
-        return _Planes(x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+        return (_MARK, x.dtype.str, np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
     return x
 
 
 def _joined(x):
-    if isinstance(x, _Planes):
-        kind = np.dtype(x[0])
-        return np.ascontiguousarray(np.frombuffer(x[1], np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+    if isinstance(x, tuple) and len(x) == 3 and isinstance(x[0], str) and x[0] == _MARK:
+        kind = np.dtype(x[1])
+        return np.ascontiguousarray(np.frombuffer(x[2], np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
     if isinstance(x, (list, tuple)):
         return type(x)(map(_joined, x))
     if isinstance(x, dict):
@@ -37,14 +41,6 @@ def _joined(x):
     return x
 
 
-class _Planes(tuple):
-    def __new__(cls, kind, raw):
-        return super().__new__(cls, (kind, raw))
-
-    def __getnewargs__(self):
-        return self[0], self[1]
-
-
 def pack(x) -> bytes:
     import zstandard
 
