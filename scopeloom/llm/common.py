@@ -4,60 +4,16 @@ Intermediate results are written as Parquet below the shared folder that ``spark
 executor never takes the only copy along. Only where that setting is absent (tests) a local folder is made.
 """
 
-import atexit
-import shutil
-import sys
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Scratch, shared_dir, ship
 
-def ship(module: str) -> None:
-    """Send this module's functions to Python workers by value: executors need not have the package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
-
+__all__ = ["Scratch", "ascii_lower", "connected_components", "merge", "roots", "shared_dir", "ship", "shuffle_partitions"]
 
 ship(__name__)
 
-_local: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is set here only where the session has none."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="scopeloom-"))
-        atexit.register(shutil.rmtree, _local[0], True)
-    return f"file://{_local[0]}"
-
-
-class Scratch:
-    """Written tables of one run. ``drop`` frees those no longer needed; the rest go at the session's end."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        path = f"{self.base}/{name}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str = "") -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session may be gone by now; the folder is the cluster's scratch space
-            pass
-
 
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else kept. ``lower`` does so where no other character has a lower case; ``translate`` is slow."""
