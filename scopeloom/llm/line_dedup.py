@@ -41,17 +41,25 @@ def recurring_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, min_docs:
     kept = scratch.table(lines.join(small, ["n", "lead"]), "candidates")
     constants = F.size(F.filter(F.split("m", " "), lambda t: t != ANY))
     alone = kept.where("leaf_lines = 1").where(constants >= least_constant * F.col("n")).select("m")
-    shared = kept.where("leaf_lines > 1").select("n", "lead", F.xxhash64("m").alias("id"), "docs", F.posexplode(F.split("m", " ")).alias("pos", "token"))
-    common = shared.groupBy("n", "lead", "pos", "token").agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs).where(F.col("token") != ANY)
-    fielded = shared.join(common.select("n", "lead", "pos", "token", F.lit(True).alias("constant")), ["n", "lead", "pos", "token"], "left")
-    shown = F.when(F.col("constant"), F.col("token")).otherwise(ANY)
+    several = kept.where("leaf_lines > 1").select(F.xxhash64("n", "lead").alias("leaf"), "n", "docs", "m")
+    tokens = several.select("leaf", "n", "docs", F.posexplode(F.split("m", " ")).alias("pos", "token")).where(F.col("token") != ANY)
+    common = tokens.groupBy("leaf", "n", "pos", F.xxhash64("token").alias("token")).agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs)
+    common = scratch.table(common.drop("s"), "constants")
+    # a leaf with constants at too few places has no template that counts: most leaves that prose falls into end here
+    rich = common.select("leaf", "n", "pos").distinct().groupBy("leaf", "n").agg(F.count("*").alias("places")).where(F.col("places") >= least_constant * F.col("n"))
+    rich = scratch.table(rich.drop("places"), "rich")
+    few = F.broadcast(rich) if rich.count() <= BROADCAST_ROWS else rich
+    left = scratch.table(several.join(few, ["leaf", "n"]), "in-rich-leaves")
+    each = left.select("leaf", "n", "docs", F.xxhash64("m").alias("id"), F.posexplode(F.split("m", " ")).alias("pos", "t")).withColumn("token", F.xxhash64("t"))
+    fielded = each.join(common.withColumn("constant", F.lit(True)), ["leaf", "n", "pos", "token"], "left")
+    shown = F.when(F.col("constant"), F.col("token"))
     # a line's tokens meet again as one row: their number is the line's own length
-    template = fielded.groupBy("n", "lead", "id").agg(F.first("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("pos", shown.alias("token")))).alias("t"), F.count("constant").alias("constants"))
-    template = template.select("n", "lead", "id", "docs", "constants", F.sha2(F.array_join(F.transform("t", lambda x: x["token"]), " "), 256).alias("template"))
+    template = fielded.groupBy("leaf", "n", "id").agg(F.first("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("pos", shown.alias("token")))).alias("t"), F.count("constant").alias("constants"))
+    template = template.select("leaf", "n", "id", "docs", "constants", F.xxhash64("t").alias("t1"), F.xxhash64(F.lit(5), "t").alias("t2"))
     template = scratch.table(template.where(F.col("constants") >= least_constant * F.col("n")), "templates")
-    often = template.groupBy("n", "lead", "template").agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs)
-    ids = template.join(often, ["n", "lead", "template"]).select("n", "lead", "id")
-    within = kept.where("leaf_lines > 1").withColumn("id", F.xxhash64("m")).join(ids, ["n", "lead", "id"], "left_semi").select("m")
+    often = template.groupBy("leaf", "n", "t1", "t2").agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs)
+    ids = template.join(often, ["leaf", "n", "t1", "t2"]).select("leaf", "n", "id")
+    within = left.withColumn("id", F.xxhash64("m")).join(ids, ["leaf", "n", "id"], "left_semi").select("m")
     return scratch.table(alone.union(within).select(F.xxhash64("m").alias("h1"), F.xxhash64(F.lit(3), "m").alias("h2")).distinct(), "recurring")
 
 
