@@ -191,18 +191,16 @@ def cyclicity(path: dict, node: dict) -> str | None:
     or None where it can't follow itself."""
     if path["start_nid"] != path["end_nid"] or not path["edges"]:
         return None
-    first = with_offset(path, *largest_variables(path))
+    again = with_offset(path, *largest_variables(path))
     try:
-        bound, scope_bound = join(first, path, node)
+        bound, scope_bound = join(path, again, node)
     except Mismatch:
         return None
-    mine = {first["sym_pre"]["variable"]}
-    grows = [k in mine for k, v in bound.items() if v["symbols"] or v["variable"] is None]
-    scope_mine = {first["sco_pre"]["variable"]} | {x["scopes"]["variable"] for x in first["sym_pre"]["symbols"] if x["scopes"] is not None}
-    grows += [k in scope_mine for k, v in scope_bound.items() if v["scopes"] or v["variable"] is None]
-    if not grows:
-        return "free"
-    return "strengthens_precondition" if any(grows) else "strengthens_postcondition"
+    # the round before asks for more than it did, or the next one finds more than it needs
+    for label, p, symbols, scopes in (("strengthens_precondition", path, "sym_pre", "sco_pre"), ("strengthens_postcondition", again, "sym_post", "sco_post")):
+        if p[symbols]["variable"] in bound or p[scopes]["variable"] in scope_bound:
+            return label
+    return "free"
 
 
 def _row(x):
