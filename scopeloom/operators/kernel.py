@@ -210,15 +210,18 @@ def _row(x):
 _PATH = "struct<" + PATHS_DDL.replace(" string", ":string").replace(f" {SYMBOLS}", f":{SYMBOLS}").replace(f" {SCOPES}", f":{SCOPES}").replace(f" {EDGES}", f":{EDGES}").replace(", ", ",") + ">"
 
 
-@F.udf(_PATH, useArrow=True)
-def concatenate_udf(left, right, node):
-    """Column form of ``concatenate`` (null where the paths don't join)."""
-    try:
-        return concatenate(_row(left), _row(right), _row(node))
-    except Mismatch:
-        return None
+def concatenate_udf():
+    """Column form of ``concatenate`` (null where the paths don't join), in Arrow batches."""
+
+    def run(left, right, node):
+        try:
+            return concatenate(_row(left), _row(right), _row(node))
+        except Mismatch:
+            return None
+
+    return F.udf(run, _PATH, useArrow=True)
 
 
-@F.udf("string", useArrow=True)
-def cyclic_udf(path, node):
-    return cyclicity(_row(path), _row(node))
+def cyclic_udf():
+    """Column form of ``cyclicity``, in Arrow batches."""
+    return F.udf(lambda path, node: cyclicity(_row(path), _row(node)), "string", useArrow=True)
