@@ -81,6 +81,24 @@ def _classes(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(counts[counts > 0], _CUT + 2), minlength=_CUT + 3)[: _CUT + 3]
 
 
+def _drops(counts: np.ndarray) -> np.ndarray:
+    """Counts in the order of their words' numbers as small differences: numbers are given out by falling count."""
+    d = np.diff(counts, prepend=0)
+    return ((d << 1) ^ (d >> 63)).astype(np.uint64)
+
+
+def _undrop(d: np.ndarray) -> np.ndarray:
+    return np.cumsum((d >> np.uint64(1)).astype(np.int64) ^ -(d & np.uint64(1)).astype(np.int64))
+
+
+def _numbered(reply: list[np.ndarray]) -> list[np.ndarray]:
+    """Numbers and counts of words from numbers and ``_drops``."""
+    number, drops = reply
+    count = np.empty(len(number), np.int64)
+    count[np.argsort(number)] = _undrop(drops)
+    return [number, count]
+
+
 def _pairs(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of the distinct pairs (history * words + word), the pair of each token, and training counts."""
     code, lengths = block["code"].astype(np.int64), block["len"]
@@ -131,7 +149,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for name, c in zip(names, cols):
             w = which[at : at + len(c[0])]
             at += len(c[0])
-            yield name, pack([number[w], counts[w]])
+            yield name, pack([number[w], _drops(counts[w][np.argsort(number[w])])])
         real = counts[keys != bos]
         yield -1, pack([real.sum(), (real > 0).sum(), _classes(real)])
         yield -2, pack([number, counts])
@@ -152,7 +170,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     told = lambda df, tag: df.where("block >= 0").select("block", "r", "blob", F.lit(tag).alias("tag"))
 
     def looked_up(b, replies):
-        return answers({r: x for t, r, x in replies if t == "w"}, np.arange(b["bounds"][-1]), b["bounds"], [np.uint64, np.int64])
+        return answers({r: _numbered(x) for t, r, x in replies if t == "w"}, np.arange(b["bounds"][-1]), b["bounds"], [np.uint64, np.int64])
 
     def keyed(b, number):
         distinct, which, counts = _pairs(b)
@@ -167,19 +185,21 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         number, count = looked_up(b, replies)
         which, counts, v, w, order, bounds = keyed(b, number)
         narrow = np.uint32 if number.max() < 1 << 32 else np.uint64
-        cols = [number[v].astype(narrow), number[w].astype(narrow), counts.astype(np.uint32), count[w].astype(np.uint32 if n_train < 1 << 32 else np.int64)]
+        cols = [number[v].astype(narrow), number[w].astype(narrow), counts.astype(np.uint32), count[w]]
         cols = [c[order] for c in cols]
         for r in np.flatnonzero(np.diff(bounds)):
-            h, *rest = (c[bounds[r] : bounds[r + 1]] for c in cols)
-            yield int(r), row["block"], pack([np.diff(h, prepend=h.dtype.type(0)), *rest])  # sorted histories: differences are small
+            h, word, n, of_word = (c[bounds[r] : bounds[r + 1]] for c in cols)
+            first = np.unique(word, return_index=True)[1]
+            yield int(r), row["block"], pack([np.diff(h, prepend=h.dtype.type(0)), word, n, _drops(of_word[first])])  # sorted histories: differences are small
 
     asked = with_replies(blocks.select("block", "blob"), told(words, "w"), ask_pairs, "r int, block long, blob binary", pa.schema([("r", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())]))
 
     def count_pairs(r, names, cols):
         v = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in cols])
-        w, n, cw = (np.concatenate([c[i] for c in cols]).astype(np.uint64) for i in (1, 2, 3))
+        w, n = (np.concatenate([c[i] for c in cols]).astype(np.uint64) for i in (1, 2))
+        cw = np.concatenate([_undrop(c[3])[np.unique(c[1], return_inverse=True)[1]] for c in cols])
         order = np.lexsort((w, v))
-        v, w, n, cw = v[order], w[order], n[order].astype(np.int64), cw[order].astype(np.int64)
+        v, w, n, cw = v[order], w[order], n[order].astype(np.int64), cw[order]
         first = np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])]
         group = np.cumsum(first) - 1
         total = np.bincount(group, n).astype(np.int64)
@@ -220,12 +240,13 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 used[at] += sum(d2[k] * k * c[k] for k in range(1, _CUT + 1)) + c[_CUT + 1]
                 mass[at] += c[_CUT + 2]
         # a history all of whose pairs are frequent has nothing taken off: half a count more leaves room for the others
-        total = np.where(count - used > 1e-9, count, count + 0.5)
+        full = count - used <= 1e-9
+        total = count + 0.5 * full
         alpha = np.where(count > 0, (1 - used / total) / np.maximum(1 - mass, 1e-300), 1.0)
         for b, c in zip(names, cols):
             if b >= 0:
                 at = np.searchsorted(number, c[0])
-                yield b, pack([alpha[at], total[at]])
+                yield b, pack([alpha[at], full[at]])
 
     weights = answer(sums.unionByName(known), scratch, "weights", weigh)
     everything = told(words, "w").unionByName(told(pairs, "p")).unionByName(told(weights, "a"))
@@ -234,7 +255,8 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def evaluate(row, replies):
         b = unpack(row["blob"])
         number, count = looked_up(b, replies)
-        alpha, total = answers({r: x for t, r, x in replies if t == "a"}, np.arange(b["bounds"][-1]), b["bounds"], [np.float64, np.float64])
+        alpha, full = answers({r: x for t, r, x in replies if t == "a"}, np.arange(b["bounds"][-1]), b["bounds"], [np.float64, np.bool_])
+        total = count + 0.5 * full
         which, _, v, w, order, bounds = keyed(b, number)
         (seen,) = answers({r: x for t, r, x in replies if t == "p"}, order, bounds, [np.int64])
         d = np.where(seen <= _CUT, d2[np.minimum(seen, _CUT)], 1.0)
