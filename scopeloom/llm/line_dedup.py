@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 ANY = "<*>"
-#: Rows up to which the recurring lines, or the documents that hold them, are broadcast; beyond, Spark joins by shuffle.
+#: Rows up to which the recurring lines are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 200_000
+#: Leaves, a number and a flag each, up to which they are broadcast: some 60 MB as a table of numbers.
+BROADCAST_LEAVES = 2_000_000
 
 
 def _masked(text_col: str):
@@ -17,31 +19,38 @@ def _masked(text_col: str):
     return F.split(F.trim(F.regexp_replace(even, r"(?<!\S)[^\s0-9]*+[0-9]\S*", ANY)), "\n")  # trim takes spaces only: places stay those of the text's lines
 
 
-def _placed(rows: DataFrame, depth: int) -> DataFrame:
+def _places(docs: DataFrame, depth: int, id_col: str, text_col: str) -> DataFrame:
+    """Every line that is not empty: its document and place, whether it stands there for the first time, leaf and hashes."""
+    lines = F.transform(_masked(text_col), lambda m, i: F.struct(m.alias("m"), i.alias("line")))
+    key = [F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("k")]
+    texts = docs.select(*key, F.sort_array(F.filter(lines, lambda s: s["m"] != "")).alias("s"))
+    new = lambda s, j: F.when(j == 0, True).otherwise(F.col("s")[j - 1]["m"] != s["m"])
+    rows = texts.select("_id", "k", F.inline(F.transform("s", lambda s, j: F.struct(s["m"].alias("m"), s["line"].alias("line"), new(s, j).alias("once")))))
     n = F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1
-    return rows.where("m <> ''").withColumns({"n": n, "lead": F.substring_index("m", " ", depth)})
+    return rows.withColumn("n", n).withColumns({"leaf": F.xxhash64("n", F.substring_index("m", " ", depth)), "h1": F.xxhash64("m"), "h2": F.xxhash64(F.lit(3), "m")})
 
 
-def recurring_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, min_docs: int = 3, least_constant: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Hashes (h1, h2) of the masked lines whose template recurs in ``min_docs`` documents or more.
+def recurring_lines(places: DataFrame, scratch: Scratch, min_docs: int = 3, least_constant: float = 0.5) -> DataFrame:
+    """Hashes (h1, h2) of the masked lines (``_places``) whose template recurs in ``min_docs`` documents or more.
 
-    A line's leaf in the tree is its token count and its first ``depth`` tokens, tokens with a digit being variable from the
-    start. Within a leaf a token is constant at its place if ``min_docs`` documents have it there, else a variable field;
-    constants and fields make up the template. Templates with a smaller share of constants than ``least_constant`` say
-    nothing and are left alone.
+    A line's leaf in the tree is its token count and its first tokens (named by a 64-bit hash), tokens with a digit being
+    variable from the start. Within a leaf a token is constant at its place if ``min_docs`` documents have it there, else a
+    variable field; constants and fields make up the template. Templates with a smaller share of constants than
+    ``least_constant`` say nothing and are left alone.
 
-    Lines are counted once per document and summed before each shuffle. Leaves in too few documents, nearly all of ordinary
-    text, and leaves with a single line are settled without looking at their tokens.
+    Lines are counted once per document. Leaves in too few documents, nearly all of ordinary text, are found from hashes
+    alone, so that the words of ordinary lines are never shuffled; leaves with a single line are settled without looking at
+    their tokens.
     """
-    each = docs.select(F.explode(F.array_distinct(_masked(text_col))).alias("m"))
-    lines = scratch.table(_placed(each, depth).groupBy("n", "lead", "m").agg(F.count("*").alias("docs")), "lines")
-    leaves = lines.groupBy("n", "lead").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("leaf_lines")).where(F.col("leaf_docs") >= min_docs)
-    leaves = scratch.table(leaves, "leaves")
-    small = F.broadcast(leaves) if leaves.count() <= BROADCAST_ROWS else leaves
-    kept = scratch.table(lines.join(small, ["n", "lead"]), "candidates")
+    each = places.where("once")
+    leaves = each.groupBy("leaf").agg(F.count("*").alias("leaf_docs"), (F.min("h1") == F.max("h1")).alias("alone")).where(F.col("leaf_docs") >= min_docs)
+    leaves = scratch.table(leaves.select("leaf", "alone"), "leaves")
+    small = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+    kept = each.select("leaf", "n", "m").join(small, "leaf").groupBy("leaf", "n", "m").agg(F.first("alone").alias("alone"), F.count("*").alias("docs"))
+    kept = scratch.table(kept, "candidates")
     constants = F.size(F.filter(F.split("m", " "), lambda t: t != ANY))
-    alone = kept.where("leaf_lines = 1").where(constants >= least_constant * F.col("n")).select("m")
-    several = kept.where("leaf_lines > 1").select(F.xxhash64("n", "lead").alias("leaf"), "n", "docs", "m")
+    alone = kept.where("alone").where(constants >= least_constant * F.col("n")).select("m")
+    several = kept.where("not alone").select("leaf", "n", "docs", "m")
     tokens = several.select("leaf", "n", "docs", F.posexplode(F.split("m", " ")).alias("pos", "token")).where(F.col("token") != ANY)
     common = tokens.groupBy("leaf", "n", "pos", F.xxhash64("token").alias("token")).agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs)
     common = scratch.table(common.drop("s"), "constants")
@@ -70,15 +79,13 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, lea
     kept. A text whose lines all recur keeps the empty text. Empty table: empty result. Further columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    recurring = recurring_lines(docs, scratch, depth, min_docs, least_constant, text_col)
+    places = scratch.table(_places(docs, depth, id_col, text_col), "places")  # texts are masked once
+    recurring = recurring_lines(places, scratch, min_docs, least_constant)
     small = F.broadcast(recurring) if recurring.count() <= BROADCAST_ROWS else recurring
-    key = [F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("k")]
-    places = docs.select(*key, F.posexplode(_masked(text_col)).alias("line", "m")).where("m <> ''")
-    slim = places.select("_id", "k", "line", F.xxhash64("m").alias("h1"), F.xxhash64(F.lit(3), "m").alias("h2"))
+    slim = places.select("_id", "k", "line", "h1", "h2")
     hits = scratch.table(slim.join(small, ["h1", "h2"]).groupBy("_id", "k").agg(F.array_sort(F.collect_set("line")).alias("drop")), "hits")
-    side = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS // 10 else hits
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_k"))
-    joined = text.join(side, (F.col("_k") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = text.join(hits, (F.col("_k") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     left = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("drop"), s["i"]))
     kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda s: s["x"]), "\n"))
