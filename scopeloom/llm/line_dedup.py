@@ -85,7 +85,8 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, lea
     slim = places.select("_id", "k", "line", "h1", "h2")
     hits = scratch.table(slim.join(small, ["h1", "h2"]).groupBy("_id", "k").agg(F.array_sort(F.collect_set("line")).alias("drop")), "hits")
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_k"))
-    joined = text.join(hits, (F.col("_k") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    # the documents with hits grow with the corpus: one plan for every size
+    joined = text.join(hits.hint("merge"), (F.col("_k") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     left = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("drop"), s["i"]))
     kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda s: s["x"]), "\n"))
