@@ -67,7 +67,9 @@ def near_embeddings(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
 
     def search(dim: int, n: int) -> DataFrame:
         part = points.where(F.col("dim") == dim)
-        some = np.array([r[0] for r in part.orderBy("h1", "h2").limit(sample).select("v").collect()], np.float64)
+        # the rows with the least hashes, about ``sample`` of them, by a filter: a sorted limit would send as many from each partition
+        drawn = part if n <= sample else part.where(F.col("h1") < int((sample / n - 0.5) * 2**64))
+        some = np.array([r[0] for r in sorted(drawn.select("v", "h1", "h2").collect(), key=lambda r: (r[1], r[2]))], np.float64)
         some /= np.linalg.norm(some, axis=1, keepdims=True)
         k = int(max(1, min(len(some) // 4, -(-n // cell_rows)))) if len(some) >= 8 else 1
         centers, turn, p = centroids(some, k), rotation(dim), min(k, cells_each)
