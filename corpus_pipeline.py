@@ -6,7 +6,7 @@ Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor k
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scopeloom.llm import decontam, mixing, sharding, simhash_vp, toxicity
+from scopeloom.llm import decontam, mixing, near_copies, sharding, toxicity
 from scopeloom.llm.common import Scratch
 
 
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (SimHash of five-word shingles), the document with the smallest id stays."""
-    return simhash_vp.drop_near_copies(docs)
+    """Of each class of near copies (Jaccard similarity of five-word shingles 0.8 or more), the document with the smallest id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

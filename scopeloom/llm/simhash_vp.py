@@ -170,13 +170,3 @@ def simhash_components(docs: DataFrame, reach: int = 3, words: int = 3, id_col:
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = scratch.table(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, reach: int = 3, words: int = 5) -> DataFrame:
-    """``docs`` with one document (the smallest id) of each class; of rows that repeat that id, one.
-
-    Rows without an id stay only in a class without any id, one of them.
-    """
-    found = simhash_components(docs, reach, words).select("doc_id", "component_id")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
