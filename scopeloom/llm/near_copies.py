@@ -122,12 +122,13 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
 
 
 def drop_near_copies(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
-    """``docs`` with one document (the smallest id) of each class; of rows that repeat that id, one.
-
-    Rows without an id stay only in a class without any id, one of them.
-    """
+    """``docs`` with exactly one row of each class: the smallest id (null ids last), then the smallest hash of the text, then
+    the smallest number of the row in a written copy of ``docs``. Repeated rows and ids are rows like any other."""
     scratch = Scratch(docs.sparkSession, "near-copies")
-    rows = scratch.table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    named = classes(rows, scratch, least, words).join(rows.select("row", "doc_id"), "row")
-    ids = named.groupBy("component").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = scratch.table(numbered, "rows")
+    keyed = rows.select(F.col("_row").alias("row"), "doc_id", "text")
+    named = classes(keyed, scratch, least, words).join(keyed.select("row", "doc_id", F.xxhash64("text").alias("t")), "row")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "row")).alias("first"))
+    kept = scratch.table(first.select(F.col("first.row").alias("_row")), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)

@@ -52,3 +52,12 @@ def test_near_copies_of_similarity_eight_tenths_go(spark):
     got = sorted(r.doc_id for r in near_copies.drop_near_copies(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect())
     assert got == sorted(min(rows[i][0] for i in c) for c in brute_kept(rows))
     assert near_copies.drop_near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b, c = near_corpus(n=3)[0:18:6]
+    copy = b.rsplit(" ", 1)[0]  # alike, with another text
+    rows = [(1, a, "s"), (1, a, "s"), (1, b, "s"), (2, copy, "s"), (None, c, "s"), (None, c, "s"), (None, a, "s"), (3, "", "s"), (None, None, "s")]
+    got = near_copies.drop_near_copies(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (1, b), (0, c), (3, "")])
+    assert len(got) == len(brute_kept(rows))
