@@ -47,11 +47,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     4. Each alignment's windows are compared word for word with the text; only whole windows count.
 
     Null or empty texts have no words and no hits; null or wordless items have no windows; an item without id hits but isn't
-    listed. Repeated documents each return; repeated items count once. Empty tables: no hits, or no rows.
+    listed. Items that share an id (or have none) are told apart by a hash of their words. Repeated documents each return;
+    repeated items count once. Empty tables: no hits, or no rows.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
     keep = [c for c in keep or [] if c != "doc_id"]
-    items = scratch.table(benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct(), "items")
+    items = scratch.table(benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct().withColumn("item", F.xxhash64("w")), "items")
     orders = [r[0] for r in items.select(F.least(F.lit(shingle), F.size("w"))).distinct().collect()]  # at most ``shingle`` numbers
     corpus = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), words(F.col("text")).alias("w"))
 
@@ -64,7 +65,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     found = None
     if orders:
         sized = {k: items.where(F.least(F.lit(shingle), F.size("w")) == k).withColumn("n", F.size("w")) for k in orders}
-        tokens = scratch.table(union([_shingles(sized[k], ["item_id", "n"], k).withColumn("k_words", F.lit(k)) for k in orders]), "tokens")
+        tokens = scratch.table(union([_shingles(sized[k], ["item_id", "item", "n"], k).withColumn("k_words", F.lit(k)) for k in orders]), "tokens")
         counts = []
         for k in orders:
             known = _small(tokens.where(F.col("k_words") == k).select("h").distinct())
@@ -73,18 +74,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         # each window's rarest token; windows with a token that occurs nowhere need no look-up, so the inner join may lose them
         by_window = tokens.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - (window - F.col("k_words"))), F.least(F.col("pos"), F.greatest(F.lit(0), F.col("n") - window)))).alias("start"))
         rare = by_window.join(counts, ["h", "k_words"], "left").fillna({"df": 0})
-        first = rare.groupBy("item_id", "n", "start", "k_words").agg(F.min_by(F.struct("h", "pos", "df"), F.struct("df", "h", "pos")).alias("t"))
-        prefix = scratch.table(first.where("t.df > 0").select("item_id", "k_words", F.col("t.h").alias("h"), F.col("t.pos").alias("item_pos"), "n").distinct(), "prefix")
+        first = rare.groupBy("item_id", "item", "n", "start", "k_words").agg(F.min_by(F.struct("h", "pos", "df"), F.struct("df", "h", "pos")).alias("t"))
+        prefix = scratch.table(first.where("t.df > 0").select("item_id", "item", "k_words", F.col("t.h").alias("h"), F.col("t.pos").alias("item_pos"), "n").distinct(), "prefix")
         parts = []
         for k in orders:
-            side = _small(prefix.where(F.col("k_words") == k).select("h", "item_id", "item_pos", "n"))
+            side = _small(prefix.where(F.col("k_words") == k).select("h", "item_id", "item", "item_pos", "n"))
             near = _shingles(corpus.withColumn("n_doc", F.size("w")), ["doc_id", "k", "n_doc"], k).join(side, "h")
             shift = F.col("pos") - F.col("item_pos")
             wide = F.least(F.lit(window), F.col("n"))
-            parts.append(near.where((shift + F.col("n") >= wide) & (shift <= F.col("n_doc") - wide)).select("doc_id", "k", "item_id", shift.alias("shift")).distinct())
+            parts.append(near.where((shift + F.col("n") >= wide) & (shift <= F.col("n_doc") - wide)).select("doc_id", "k", "item_id", "item", shift.alias("shift")).distinct())
         aligned = scratch.table(union(parts).distinct(), "aligned")
-        texts = items.select(F.col("item_id").alias("_item"), F.col("w").alias("words"))
-        joined = aligned.join(_small(texts), F.col("item_id").eqNullSafe(F.col("_item")))
+        texts = items.select(F.col("item_id").alias("_id_of"), F.col("item").alias("_item"), F.col("w").alias("words"))
+        joined = aligned.join(_small(texts), (F.col("item") == F.col("_item")) & F.col("item_id").eqNullSafe(F.col("_id_of")))
         found = joined.groupBy(F.col("doc_id").alias("_id"), "k").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("c"))
         found = _small(scratch.table(found, "found"))
     base = docs.select("doc_id", *keep, F.xxhash64("doc_id", "text").alias("k"), words(F.col("text")).alias("w"))
