@@ -9,6 +9,9 @@ from .common import Scratch, connected_components, merge, ship
 
 ship(__name__)
 
+#: Cells that are sent and searched together.
+CELLS_A_PACK = 4
+
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
@@ -41,15 +44,18 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 5, seed: int = 3) -> np.
     return c
 
 
-def near_embeddings(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", cell_rows: int = 2_000, cells_each: int = 3, block_rows: int = 2_048, sample: int = 16_000, sigmas: float = 4.0) -> DataFrame:
+def near_embeddings(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", cell_rows: int = 2_000, block_rows: int = 2_048, sample: int = 16_000, sigmas: float = 4.0) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
-    Equal vectors are one point with a count. Points go to the ``cells_each`` nearest of a number of cells that grows with
-    the table (centroids are fitted on a bounded sample; every point is indexed); a cell of any size is cut into blocks, and
-    each pair of blocks is a task, so no cell is ever gathered or cut short. A pair is judged in the smallest cell that
-    both share, hence once. Its inner product is estimated from one point's code and the other's rotated vector; only where
-    the upper confidence bound (``sigmas`` deviations) reaches ``least`` is the cosine computed, in double precision, and it
-    alone links. A pair without a common cell is missed: recall is measured in the tests.
+    Equal vectors are one point with a count. A point lives in the nearest of a number of cells that grows with the table
+    (centroids are fitted on a bounded sample; every point is indexed), and visits every other cell that can hold a vector
+    within the angle of ``least``: the plane between the two centroids is no farther than that, nor is the cap that holds the
+    cell's points. So no pair is missed for want of a common cell, however dense a group; where the bounds prune nothing, as
+    among random directions, all pairs are compared. Neighbouring numbers of cells share a pack, so that a point is sent to
+    it once; of two packs, the one of the smaller number visits, hence a pair is judged once. A pack of any size is cut into
+    blocks, and each pair of blocks is a task. A pair's inner product is estimated from one point's code and the other's
+    rotated vector; only where the upper confidence bound (``sigmas`` deviations) reaches ``least`` is the cosine computed,
+    in double precision, and it alone links.
 
     A task returns numbers of links per point and one edge per member of its local classes, not the pairs. Vectors that are
     null, empty, zero or hold null, infinite or NaN components link with nothing; vectors of different lengths never link.
@@ -57,9 +63,10 @@ def near_embeddings(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     """
     scratch = Scratch(vectors.sparkSession, "embed")
     v = F.col(vec_col)
+    kind = "float" if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else "double"
     norm = F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))
     fine = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (norm > 0), F.lit(False))
-    keyed = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fine, v.cast("array<double>")).alias("v"))
+    keyed = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fine, v.cast(f"array<{kind}>")).alias("v"))
     keyed = scratch.table(keyed.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(11), "v").alias("h2")), "rows")
     points = scratch.table(keyed.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("point"), F.count("*").alias("mult"), F.first("v").alias("v")).withColumn("dim", F.size("v")), "points")
     dims = [(r[0], r[1]) for r in points.groupBy("dim").count().orderBy("dim").collect()]
@@ -72,33 +79,65 @@ def near_embeddings(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
         some = np.array([r[0] for r in sorted(drawn.select("v", "h1", "h2").collect(), key=lambda r: (r[1], r[2]))], np.float64)
         some /= np.linalg.norm(some, axis=1, keepdims=True)
         k = int(max(1, min(len(some) // 4, -(-n // cell_rows)))) if len(some) >= 8 else 1
-        centers, turn, p = centroids(some, k), rotation(dim), min(k, cells_each)
-        slim = part.select("point", "mult", "v")
+        centers, turn = centroids(some, k), rotation(dim)
+        between = np.sqrt(np.maximum(2 - 2 * centers @ centers.T, 0))
+        reach = np.arccos(np.clip(least, -1, 1)) + 1e-6
+        tile = block_rows * CELLS_A_PACK
+
+        def slices(b):
+            """Unit rows, their inner products with the centroids and their home cells, some rows at a time."""
+            x = np.array(b.column("v").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+            u = x / np.linalg.norm(x, axis=1, keepdims=True)
+            for at in range(0, len(u), 1_024):
+                near = u[at : at + 1_024] @ centers.T
+                yield near, near.argmax(1)
+
+        def caps(batches):
+            low = np.full(k, 2.0)
+            for b in batches:
+                for near, home in slices(b):
+                    np.minimum.at(low, home, near[np.arange(len(home)), home])
+            cells = np.flatnonzero(low < 2)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(low[cells])], ["cell", "low"])
+
+        # one small row for each of the fitted centroids
+        width = np.full(k, -np.inf)
+        for cell, low in part.select("v").mapInArrow(caps, "cell long, low double").groupBy("cell").agg(F.min("low")).collect():
+            width[cell] = np.arccos(np.clip(low, -1, 1))
 
         def route(batches):
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.array(b.column("v").flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
-                u = x / np.linalg.norm(x, axis=1, keepdims=True)
-                near = np.sort(np.argpartition(-(u @ centers.T), p - 1, axis=1)[:, :p], axis=1).astype(np.int32)
-                row = np.repeat(np.arange(len(x)), p)
-                cells = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(row) + 1) * p, p, dtype=np.int32)), pa.array(near[row].ravel()))
-                take = b.select(["point", "mult", "v"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), take.column(0), take.column(1), take.column(2), cells], ["cell", "point", "mult", "v", "cells"])
-
-        routed = scratch.table(slim.mapInArrow(route, "cell int, point long, mult long, v array<double>, cells array<int>"), f"routed-{dim}")
-        sizes = routed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-        # the table of cells has one small row for each of the fitted centroids
-        cut = routed.join(F.broadcast(sizes), "cell").withColumn("own", F.pmod(F.xxhash64("point"), "blocks").cast("int"))
-        dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "point", "mult", "v", "cells")
+                homes, counts, packs = [], [], []
+                for near, home in slices(b):
+                    own = near[np.arange(len(home)), home]
+                    beyond = own[:, None] - near > np.sin(min(reach, np.pi / 2)) * between[home] + 1e-9
+                    may = ~beyond & (np.arccos(np.clip(near, -1, 1)) <= width + reach)
+                    may = np.pad(may, ((0, 0), (0, -k % CELLS_A_PACK))).reshape(len(home), -1, CELLS_A_PACK).any(2)
+                    may &= np.arange(may.shape[1]) > (home // CELLS_A_PACK)[:, None]
+                    homes.append(home // CELLS_A_PACK), counts.append(may.sum(1)), packs.append(np.nonzero(may)[1])
+                if homes:
+                    ends = np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int32)
+                    visits = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(packs).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([b.column("point"), b.column("mult"), b.column("v"), pa.array(np.concatenate(homes).astype(np.int32)), visits], ["point", "mult", "v", "home", "visits"])
+
+        routed = scratch.table(part.select("point", "mult", "v").mapInArrow(route, f"point long, mult long, v array<{kind}>, home int, visits array<int>"), f"routed-{dim}")
+        sent = routed.select("home", F.explode(F.concat(F.array("home"), "visits")).alias("pack"))
+        blocks = lambda here: F.ceil(F.sum((F.col("home") == F.col("pack") if here else F.col("home") != F.col("pack")).cast("long")) / tile).cast("int")
+        sizes = sent.groupBy("pack").agg(blocks(True).alias("homes"), blocks(False).alias("guests"))
+        dealt = routed.withColumn("pack", F.explode(F.concat(F.array("home"), "visits"))).join(F.broadcast(sizes), "pack")
+        lives = F.col("home") == F.col("pack")
+        dealt = dealt.withColumn("own", F.when(lives, F.pmod(F.xxhash64("point"), "homes")).otherwise(F.col("homes") + F.pmod(F.xxhash64("point"), "guests")).cast("int"))
+        others = F.sequence(F.lit(0), F.when(lives, F.col("homes") + F.col("guests")).otherwise(F.col("homes")) - 1)
+        dealt = dealt.withColumn("other", F.explode(others)).select("pack", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "point", "mult", "v")
+
+        def cosine(x, e, f):
+            return np.einsum("nd,nd->n", x[e], x[f]) / np.sqrt(np.einsum("nd,nd->n", x[e], x[e]) * np.einsum("nd,nd->n", x[f], x[f]))
 
         def compare(key, t):
-            cell, i, j = (k.as_py() for k in key)
+            _, i, j = (k.as_py() for k in key)
             t = t.sort_by("point")
             point, mult, own = (t.column(c).to_numpy() for c in ("point", "mult", "own"))
-            x = t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            cells = t.column("cells").combine_chunks().flatten().to_numpy().reshape(len(point), -1)
+            x = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
             u = x / np.linalg.norm(x, axis=1, keepdims=True)
             y, bits, factor = encode(u, turn)
             a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -107,22 +146,25 @@ def near_embeddings(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
             links, parent = np.zeros(len(point), np.int64), np.arange(len(point))
             for s in range(0, len(a), 512):
                 q = a[s : s + 512]
-                e, f = np.nonzero(y[q].astype(np.float32) @ codes >= need)
-                e, f = q[e], b[f]
+                row, col = np.nonzero(y[q].astype(np.float32) @ codes >= need)
                 if i == j:
-                    e, f = e[e < f], f[e < f]
-                exact = np.einsum("nd,nd->n", x[e], x[f]) / np.sqrt(np.einsum("nd,nd->n", x[e], x[e]) * np.einsum("nd,nd->n", x[f], x[f]))
+                    later = q[row] < b[col]
+                    row, col = row[later], col[later]
+                e, f = q[row], b[col]
+                if len(e) * 32 > len(q) * len(b):  # a dense group: all products at once, those near the limit again
+                    exact = (u[q] @ u[b].T)[row, col]
+                    close = np.abs(exact - least) < 1e-9
+                    exact[close] = cosine(x, e[close], f[close])
+                else:
+                    exact = cosine(x, e, f)
                 e, f = e[exact >= least], f[exact >= least]
-                shared = (cells[e][:, :, None] == cells[f][:, None, :]).any(2)
-                once = np.where(shared, cells[e], np.iinfo(np.int32).max).min(1) == cell
-                e, f = e[once], f[once]
                 np.add.at(links, e, mult[f])
                 np.add.at(links, f, mult[e])
                 parent = merge(parent, e, f)
             child, linked = np.flatnonzero(parent != np.arange(len(point))), np.flatnonzero(links)
             return pa.table({"a": pa.array(np.r_[point[parent[child]], point[linked]]), "b": pa.array(np.r_[point[child], np.full(len(linked), -1)]), "n": pa.array(np.r_[np.zeros(len(child), np.int64), links[linked]])})
 
-        return dealt.groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long, n long")
+        return dealt.groupBy("pack", "i", "j").applyInArrow(compare, "a long, b long, n long")
 
     for dim, n in dims:
         got = search(dim, n)
