@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 ANY = "<*>"
+#: Shares of a leaf's documents that must have a token at its place for it to be constant; lines are judged once by each.
+SHARES = (0.1, 0.5)
 #: Rows up to which the recurring lines are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 200_000
 #: Leaves, a number and a flag each, up to which they are broadcast: some 60 MB as a table of numbers.
@@ -30,7 +32,7 @@ def _places(docs: DataFrame, depth: int, id_col: str, text_col: str) -> DataFram
     return rows.withColumn("n", n).withColumns({"leaf": F.xxhash64("n", F.substring_index("m", " ", depth)), "h1": F.xxhash64("m"), "h2": F.xxhash64(F.lit(3), "m")})
 
 
-def recurring_lines(places: DataFrame, scratch: Scratch, min_docs: int = 3, least_constant: float = 0.5) -> DataFrame:
+def recurring_lines(places: DataFrame, scratch: Scratch, min_docs: int = 3, least_constant: float = 0.5, depth: int = 3) -> DataFrame:
     """Hashes (h1, h2) of the masked lines (``_places``) whose template recurs in ``min_docs`` documents or more.
 
     A line's leaf in the tree is its token count and its first tokens (named by a 64-bit hash), tokens with a digit being
@@ -38,6 +40,11 @@ def recurring_lines(places: DataFrame, scratch: Scratch, min_docs: int = 3, leas
     variable field; constants and fields make up the template. Templates with a smaller share of constants than
     ``least_constant`` say nothing and are left alone.
 
+    In a large leaf the values of a field come in ``min_docs`` documents as well, and each combination of two such fields
+    would be a template of its own. So lines are judged again with tokens constant only if a share of the leaf's documents
+    (``SHARES``) has them; a line recurs if any of its templates does. As the first ``depth`` tokens are the leaf's own, the
+    share of constants must hold among the others too, else all short lines of a large corpus that begin alike would go.
+
     Lines are counted once per document. Leaves in too few documents, nearly all of ordinary text, are found from hashes
     alone, so that the words of ordinary lines are never shuffled; leaves with a single line are settled without looking at
     their tokens.
@@ -53,19 +60,31 @@ def recurring_lines(places: DataFrame, scratch: Scratch, min_docs: int = 3, leas
     several = kept.where("not alone").select("leaf", "n", "docs", "m")
     tokens = several.select("leaf", "n", "docs", F.posexplode(F.split("m", " ")).alias("pos", "token")).where(F.col("token") != ANY)
     common = tokens.groupBy("leaf", "n", "pos", F.xxhash64("token").alias("token")).agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs)
-    common = scratch.table(common.drop("s"), "constants")
+    common = scratch.table(common, "constants")
     # a leaf with constants at too few places has no template that counts: most leaves that prose falls into end here
     rich = common.select("leaf", "n", "pos").distinct().groupBy("leaf", "n").agg(F.count("*").alias("places")).where(F.col("places") >= least_constant * F.col("n"))
     rich = scratch.table(rich.drop("places"), "rich")
     few = F.broadcast(rich) if rich.count() <= BROADCAST_ROWS else rich
     left = scratch.table(several.join(few, ["leaf", "n"]), "in-rich-leaves")
+    totals = left.groupBy("leaf", "n").agg(F.sum("docs").alias("total"))
     each = left.select("leaf", "n", "docs", F.xxhash64("m").alias("id"), F.posexplode(F.split("m", " ")).alias("pos", "t")).withColumn("token", F.xxhash64("t"))
-    fielded = each.join(common.withColumn("constant", F.lit(True)), ["leaf", "n", "pos", "token"], "left")
-    shown = F.when(F.col("constant"), F.col("token"))
+    fielded = each.join(common, ["leaf", "n", "pos", "token"], "left")
     # a line's tokens meet again as one row: their number is the line's own length
-    template = fielded.groupBy("leaf", "n", "id").agg(F.first("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("pos", shown.alias("token")))).alias("t"), F.count("constant").alias("constants"))
-    template = template.select("leaf", "n", "id", "docs", "constants", F.xxhash64("t").alias("t1"), F.xxhash64(F.lit(5), "t").alias("t2"))
-    template = scratch.table(template.where(F.col("constants") >= least_constant * F.col("n")), "templates")
+    line = fielded.groupBy("leaf", "n", "id").agg(F.first("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("s").isNotNull(), F.col("token")).alias("token"), "s"))).alias("t")).join(totals, ["leaf", "n"])
+
+    def judged(share: float):
+        """The tokens that are constant at this share, null for fields; null if they are too few."""
+        t = F.transform("t", lambda x: F.when(x["s"] >= F.greatest(F.lit(min_docs), share * F.col("total")), x["token"]))
+        known = lambda a: F.size(F.filter(a, lambda x: x.isNotNull()))
+        enough = known(t) >= least_constant * F.col("n")
+        if share:
+            rest = F.slice(t, depth + 1, F.greatest(F.size(t) - depth, F.lit(0)))
+            enough &= (F.size(rest) > 0) & (known(rest) >= least_constant * F.size(rest))
+        return F.when(enough, F.struct(F.lit(share).alias("share"), t.alias("t")))
+
+    template = line.select("leaf", "n", "id", "docs", F.explode(F.array_distinct(F.array(*[judged(x) for x in (0.0, *SHARES)]))).alias("x")).where("x is not null")
+    template = template.select("leaf", "n", "id", "docs", F.xxhash64("x").alias("t1"), F.xxhash64(F.lit(5), "x").alias("t2"))
+    template = scratch.table(template, "templates")
     often = template.groupBy("leaf", "n", "t1", "t2").agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs)
     ids = template.join(often, ["leaf", "n", "t1", "t2"]).select("leaf", "n", "id")
     within = left.withColumn("id", F.xxhash64("m")).join(ids, ["leaf", "n", "id"], "left_semi").select("m")
@@ -80,7 +99,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, lea
     """
     scratch = Scratch(docs.sparkSession, "lines")
     places = scratch.table(_places(docs, depth, id_col, text_col), "places")  # texts are masked once
-    recurring = recurring_lines(places, scratch, min_docs, least_constant)
+    recurring = recurring_lines(places, scratch, min_docs, least_constant, depth)
     small = F.broadcast(recurring) if recurring.count() <= BROADCAST_ROWS else recurring
     slim = places.select("_id", "k", "line", "h1", "h2")
     hits = scratch.table(slim.join(small, ["h1", "h2"]).groupBy("_id", "k").agg(F.array_sort(F.collect_set("line")).alias("drop")), "hits")
