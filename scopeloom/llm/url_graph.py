@@ -27,23 +27,28 @@ def match_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return rule, verdict
 
 
-def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, damping: float = 0.85, rounds: int = 20, least_change: float = 1e-7) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, damping: float = 0.85, rounds: int = 1_000, least_change: float = 1e-7, least_share: float = 1e-4) -> DataFrame:
     """Personalised PageRank: (host, score). ``edges`` (a, b, share) with the shares of each ``a`` summing to one; ``seeds``
     (host, seed) are where walks start, restart, and go from hosts without links. One join on the linking host and one
-    aggregate, partial first, per round; a host with very many links is only ever joined and summed."""
-    now = scratch.table(seeds.select("host", F.col("seed").alias("score")), f"{name}-0")
+    aggregate, partial first, per round; a host with very many links is only ever joined and summed.
+
+    Rounds go on until one changes less than ``least_change`` in sum and less than ``least_share`` of any host's own score,
+    so also until no new host is reached: verdicts compare small scores. More than ``rounds`` raise."""
+    zero = F.lit(0.0)
+    now = scratch.table(seeds.select("host", F.col("seed").alias("score")), f"{name}-0").select("host", "score")
     for k in range(1, rounds + 1):
-        moved = now.join(edges, now.host == edges.a).groupBy(F.col("b").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("flow"))
-        kept = scratch.table(moved, f"{name}-flow-{k}")
-        back = 1 - (kept.agg(F.sum("flow")).first()[0] or 0.0)  # restarts, and walks that end where no link leads on
-        step = kept.join(seeds, "host", "full").select("host", (F.coalesce("flow", F.lit(0.0)) + F.coalesce("seed", F.lit(0.0)) * back).alias("score"))
-        new = scratch.table(step, f"{name}-{k}")
-        change = new.join(now.withColumnRenamed("score", "old"), "host", "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
-        scratch.drop(f"{name}-{k - 1}"), scratch.drop(f"{name}-flow-{k}")
-        now = new
-        if change < least_change:
-            break
-    return now
+        moved = now.join(edges, F.col("host") == edges.a).groupBy(F.col("b").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("flow"))
+        joined = moved.join(seeds.select("host", "seed"), "host", "full").join(now.withColumnRenamed("score", "old"), "host", "full")
+        step = scratch.table(joined.select("host", *[F.coalesce(c, zero).alias(c) for c in ("flow", "seed", "old")]), f"{name}-{k}")
+        back = 1 - (step.agg(F.sum("flow")).first()[0] or 0.0)  # restarts, and walks that end where no link leads on
+        score = F.col("flow") + F.col("seed") * back
+        moved_by = F.abs(score - F.col("old"))
+        change, share = (x or 0.0 for x in step.agg(F.sum(moved_by), F.max(F.when(score > 0, moved_by / score))).first())
+        scratch.drop(f"{name}-{k - 1}")
+        now = step.select("host", score.alias("score"))
+        if change < least_change and share < least_share:
+            return now
+    raise RuntimeError(f"scores did not settle in {rounds} rounds")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
