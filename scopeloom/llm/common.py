@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, shared_dir, ship
 
-__all__ = ["Scratch", "ascii_lower", "connected_components", "merge", "roots", "shared_dir", "ship", "shuffle_partitions"]
+__all__ = ["Scratch", "ascii_lower", "carried", "connected_components", "merge", "roots", "shared_dir", "ship", "shuffle_partitions", "uncarried"]
 
 ship(__name__)
 
@@ -26,6 +26,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def carried(docs: DataFrame, used: list[str], keep: list[str] | None) -> DataFrame:
+    """The columns ``used`` as they are, and those in ``keep`` as one struct ``_kept``, where no name of theirs can clash."""
+    keep = [F.col(f"`{c}`") for c in keep or []]
+    return docs.select(*[F.col(f"`{c}`") for c in used], F.struct(*keep, F.lit(0).alias("_")).alias("_kept"))
+
+
+def uncarried(df: DataFrame, first: list[str], keep: list[str] | None, made: list[str]) -> DataFrame:
+    """``first``, the columns that ``carried`` put away, and ``made``, which replaces columns of the same name."""
+    taken = {c.lower() for c in (*first, *made)}
+    back = [F.col("_kept").getField(c).alias(c) for c in keep or [] if c.lower() not in taken]
+    return df.select(*first, *back, *made)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges`` (a, b): the smallest node that it reaches.
 
