@@ -5,7 +5,9 @@ import shutil
 import sys
 import tempfile
 import uuid
+import warnings
 
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,13 +18,18 @@ def ship(module: str) -> None:
 
 
 _local: list[str] = []
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. A local one is made only where the session has none (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, one of this machine serves sessions of this machine
+    alone (``local[n]``, as in tests); on a cluster that is an error, as no other host would see the files."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="scopeloom-"))
         atexit.register(shutil.rmtree, _local[0], True)
@@ -37,15 +44,24 @@ class Scratch:
         atexit.register(self.drop)
 
     def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        """``df`` written and read again. The shuffles that made it are deleted with the write: the table replaces them."""
         path = f"{self.base}/{name}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        before = self.spark.conf.get(_CLEAN_UP, None)
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            writer = df.write.option("compression", "zstd")
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEAN_UP) if before is None else self.spark.conf.set(_CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
+        """Frees one table, or all. At the interpreter's end the session may be gone; the folder is scratch space then."""
+        if self.spark.sparkContext._jsc is None or self.spark.sparkContext._jsc.sc().isStopped():
+            return
         try:
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session may be gone by now; the folder is the cluster's scratch space
-            pass
+        except (Py4JError, OSError) as e:
+            warnings.warn(f"scratch folder {self.base}/{name} was not deleted: {e}", stacklevel=2)
