@@ -98,7 +98,7 @@ def to_batches(rows, schema: pa.Schema, most: int = 16_000_000):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-REPLY = "block long, r int, blob binary"
+REPLY, QUESTION = "block long, r int, blob binary", "r int, block long, blob binary"
 
 
 def ask(blocks: DataFrame, emit) -> DataFrame:
@@ -108,23 +108,25 @@ def ask(blocks: DataFrame, emit) -> DataFrame:
         for b in batches:
             yield from to_batches((q for row in b.to_pylist() for q in emit(row)), pa.schema([("r", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())]))
 
-    return blocks.mapInArrow(run, "r int, block long, blob binary")
+    return blocks.mapInArrow(run, QUESTION)
 
 
-def with_replies(blocks: DataFrame, replies: DataFrame, emit, schema: str, arrow: pa.Schema) -> DataFrame:
-    """Each block together with its replies: ``emit(row, [(tag, r, arrays), ...])`` yields tuples of ``schema``."""
+def with_replies(blocks: DataFrame, replies: DataFrame, emit, schema: str, arrow: pa.Schema, tasks: int) -> DataFrame:
+    """Each block together with its replies: ``emit(row, [(tag, r, arrays), ...])`` yields tuples of ``schema``. Blocks are
+    spread over ``tasks``, a number that grows with theirs, so that a task holds few of them at any size."""
 
     def run(key, left, right):
         told = [(t, r, unpack(b)) for t, r, b in zip(right.column("tag").to_pylist(), right.column("r").to_pylist(), right.column("blob").to_pylist())] if right.num_rows else []
         rows = [x for row in left.to_pylist() for x in emit(row, told)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow) if rows else arrow.empty_table()
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
+    return blocks.repartition(tasks, "block").groupBy("block").cogroup(replies.repartition(tasks, "block").groupBy("block")).applyInArrow(run, schema)
 
 
-def answer(asked: DataFrame, scratch: Scratch, name: str, reduce) -> DataFrame:
-    """Replies of all partitions, written. ``reduce`` takes (partition, blocks, lists of columns) and yields (block, bytes);
-    block -1 and below hold what is not for a block."""
+def answer(asked: DataFrame, scratch: Scratch, name: str, reduce, n_parts: int) -> DataFrame:
+    """Replies of all ``n_parts`` partitions, written; as many tasks, so that the largest stays the same at any size.
+    ``reduce`` takes (partition, blocks, lists of columns) and yields (block, bytes); block -1 and below hold what is not for a
+    block."""
     out = pa.schema([("block", pa.int64()), ("r", pa.int32()), ("blob", pa.binary())])
 
     def run(key, t):
@@ -133,4 +135,4 @@ def answer(asked: DataFrame, scratch: Scratch, name: str, reduce) -> DataFrame:
         rows = [(b, r, x) for b, x in reduce(r, blocks, cols)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out) if rows else out.empty_table()
 
-    return scratch.table(asked.groupBy("r").applyInArrow(run, REPLY), name)
+    return scratch.table(asked.repartition(n_parts, "r").groupBy("r").applyInArrow(run, REPLY), name)

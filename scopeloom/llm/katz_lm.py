@@ -1,13 +1,15 @@
-"""Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights, tables by partition."""
+"""Katz backoff language model of any order: Good-Turing discounted counts, exactly normalised backoff weights, tables by
+partition, evaluated recursively per token."""
 
 import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answer, answers, ask, deal, pack, questions, to_batches, unpack, with_replies
+from .blocks import QUESTION, answer, ask, deal, mix64, pack, questions, to_batches, unpack, with_replies
 from .common import Scratch, ship, shuffle_partitions
 
 ship(__name__)
@@ -91,45 +93,178 @@ def _undrop(d: np.ndarray) -> np.ndarray:
     return np.cumsum((d >> np.uint64(1)).astype(np.int64) ^ -(d & np.uint64(1)).astype(np.int64))
 
 
-def _numbered(reply: list[np.ndarray]) -> list[np.ndarray]:
-    """Numbers and counts of words from numbers and ``_drops``."""
-    number, drops = reply
-    count = np.empty(len(number), np.int64)
-    count[np.argsort(number)] = _undrop(drops)
-    return [number, count]
-
-
-def _pairs(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the distinct pairs (history * words + word), the pair of each token, and training counts."""
-    code, lengths = block["code"].astype(np.int64), block["len"]
-    starts = np.cumsum(lengths) - lengths
-    before = np.empty_like(code)
-    before[1:] = code[:-1]
-    before[starts] = block["bos"]
-    flat = before * int(block["bounds"][-1]) + code
-    distinct, which = np.unique(flat, return_inverse=True)
-    return distinct, which, np.bincount(which[np.repeat(block["train"], lengths)], minlength=len(distinct))
-
-
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partition_bytes: int = 24_000_000) -> DataFrame:
+@dataclass
+class Gram:
+    """The distinct n-grams of one length in a block. ``history`` and ``lower`` (an n-gram without its last, or first, word) are
+    indexes into the next shorter ones; ``at`` is the n-gram that ends at each token, -1 at a text's start."""
+
+    at: np.ndarray
+    history: np.ndarray | None = None
+    word: np.ndarray | None = None
+    lower: np.ndarray | None = None
+    mine: np.ndarray | None = None  # training count in this block
+    count: np.ndarray | None = None  # training count in the corpus
+    number: np.ndarray | None = None
+    solo: np.ndarray | None = None  # in this block only
+    total: np.ndarray | None = None  # per history: what its probabilities are divided by
+    alpha: np.ndarray | None = None  # per history: its backoff weight
+    asked: dict = field(default_factory=dict)
+
+
+def _shift(at: np.ndarray, starts: np.ndarray, first: int) -> np.ndarray:
+    out = np.empty(len(at), np.int64)
+    out[1:] = at[:-1]
+    out[starts] = first
+    return out
+
+
+def _longer(b: dict, grams: list[Gram]) -> Gram:
+    """The n-grams one word longer than the last of ``grams``."""
+    n_words, last = int(b["bounds"][-1]), grams[-1]
+    starts = np.cumsum(b["len"]) - b["len"]
+    history = _shift(last.at, starts, b["bos"] if len(grams) == 1 else -1)
+    have = np.flatnonzero(history >= 0)
+    distinct, which = np.unique(history[have] * n_words + b["code"][have], return_inverse=True)
+    at = np.full(len(history), -1)
+    at[have] = which
+    lower = np.empty(len(distinct), np.int64)
+    lower[which] = last.at[have]
+    h, w = np.divmod(distinct, n_words)
+    return Gram(at, h, w, lower, np.bincount(which[b["trained"][have]], minlength=len(distinct)))
+
+
+def _deal_grams(g: Gram, grams: list[Gram], n_parts: int, split: int) -> None:
+    """Puts n-grams whose history other blocks have too, and these histories, in the order of the partitions that answer.
+
+    A history's continuations go to one partition, or by their word to as many as its count asks for; each of these is asked
+    for its share of the history's sums."""
+    last, words = grams[-1], grams[0]
+    ask = np.flatnonzero(~last.solo[g.history])
+    some = np.unique(g.history[ask])
+    home = mix64(last.number[some]) % np.uint64(n_parts)
+    spread = np.minimum(1 + last.count[some] // split, n_parts).astype(np.uint64)
+    of = np.searchsorted(some, g.history[ask])
+    part = (home[of] + mix64(words.number[g.word[ask]] + np.uint64(1)) % spread[of]) % np.uint64(n_parts)
+    order = np.lexsort((words.number[g.word[ask]], last.number[g.history[ask]], part))
+    ask, part = ask[order], part[order]
+    times = spread.astype(np.int64)
+    who = np.repeat(np.arange(len(some)), times)
+    step = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+    to = (home[who] + step.astype(np.uint64)) % np.uint64(n_parts)
+    order = np.lexsort((last.number[some[who]], to))
+    who, to = who[order], to[order]
+    # how many of the n-grams belong to each (partition, history)
+    rank = np.empty(len(some), np.int64)
+    rank[np.argsort(last.number[some])] = np.arange(len(some))
+    of = np.searchsorted(some, g.history[ask])
+    spots, mine = to.astype(np.int64) * (len(some) + 1) + rank[who], part.astype(np.int64) * (len(some) + 1) + rank[of]
+    ends = np.searchsorted(mine, spots, "right")
+    per = ends - np.searchsorted(mine, spots, "left")
+    bounds = np.arange(n_parts + 1, dtype=np.uint64)
+    g.asked = {"ask": ask, "of_part": np.searchsorted(part, bounds), "histories": some[who], "to_part": np.searchsorted(to, bounds), "per": per}
+
+
+def _sums(counts: np.ndarray, of: np.ndarray, mass: np.ndarray, n: int) -> list[np.ndarray]:
+    """Of n histories: numbers of continuations seen 1.._CUT times, occurrences of the others, lower-order mass of all of them."""
+    seen = counts > 0
+    by_class = [np.bincount(of, counts == k, n).astype(np.uint32) for k in range(1, _CUT + 1)]
+    return [*by_class, np.bincount(of, np.where(counts > _CUT, counts, 0), n).astype(np.int64), np.bincount(of, np.where(seen, mass, 0.0), n)]
+
+
+class Model:
+    """What is known of the model so far: discounts of each order, and the unigrams."""
+
+    def __init__(self, n_train: int, n_types: int, classes: np.ndarray):
+        self.n_train, self.n_types, self.d = n_train, n_types, [None, discounts(classes)]
+        frequent = n_train - sum(r * classes[r] for r in range(1, _CUT + 1))
+        mass = (sum(self.d[1][r] * r * classes[r] for r in range(1, _CUT + 1)) + frequent) / n_train if n_train else 1.0
+        self.unseen = max(1 - mass, 0.5 / max(n_train, 1)) if n_train else 1.0
+        self.scale = (1 - self.unseen) / mass if n_train else 0.0
+
+    def discounted(self, order: int, c: np.ndarray) -> np.ndarray:
+        return np.where(c <= _CUT, self.d[order][np.minimum(c, _CUT)], 1.0) * c
+
+    def unigram(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, self.scale * self.discounted(1, c) / max(self.n_train, 1), self.unseen)
+
+    def lower(self, order: int, c: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Probabilities of n-grams of ``order`` that were seen."""
+        return self.unigram(c) if order == 1 else self.discounted(order, c) / total
+
+    def weigh(self, order: int, sums: list[np.ndarray], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each history, the divisor and the backoff weight: the discounted mass over the lower-order mass of words not seen
+        after it. A history all of whose continuations are frequent has nothing taken off: half a count more leaves room."""
+        used = sum(self.d[order][k] * k * sums[k - 1] for k in range(1, _CUT + 1)) + sums[_CUT]
+        total = count + 0.5 * (count - used <= 1e-9)
+        return total, np.where(count > 0, (1 - used / np.maximum(total, 1)) / np.maximum(1 - sums[_CUT + 1], 1e-300), 1.0)
+
+
+def _resolve(b: dict, replies: dict, model: Model | None, n_parts: int, split: int, orders: int) -> list[Gram]:
+    """The block's n-grams of the first ``orders`` orders with all that the replies tell of them."""
+    number, count = np.zeros(b["bounds"][-1], np.uint64), np.zeros(b["bounds"][-1], np.int64)
+    solo = np.zeros(b["bounds"][-1], bool)
+    for r, (n, drops, alone) in replies.get(1, {}).items():
+        s = slice(b["bounds"][r], b["bounds"][r + 1])
+        number[s], solo[s] = n, alone
+        c = np.empty(len(n), np.int64)
+        c[np.argsort(n)] = _undrop(drops)
+        count[s] = c
+    b["trained"] = np.repeat(b["train"], b["len"])
+    grams = [Gram(b["code"].astype(np.int64), count=count, number=number, solo=solo)]
+    for order in range(2, orders + 1):
+        last, g = grams[-1], _longer(b, grams)
+        _deal_grams(g, grams, n_parts, split)
+        n = len(g.word)
+        g.count, g.number, g.solo = g.mine.copy(), np.zeros(n, np.uint64), np.ones(n, bool)
+        alone = np.flatnonzero(last.solo[g.history])  # settled here: no other block has their history
+        low = _lower_total(grams, len(last.count))
+        mass = np.zeros(n)
+        mass[alone] = model.lower(order - 1, grams[-1].count[g.lower[alone]], low[g.history[alone]])
+        sums = _sums(np.where(last.solo[g.history], g.mine, 0), g.history, mass, len(last.count))
+        a = g.asked
+        for r, (total, single, steps, *told) in replies.get(order, {}).items():
+            mine = a["ask"][a["of_part"][r] : a["of_part"][r + 1]]
+            g.count[mine], g.solo[mine] = total, single
+            g.number[mine[~single]] = np.cumsum(steps, dtype=np.uint64) * np.uint64(n_parts) + np.uint64(r)
+            whose = a["histories"][a["to_part"][r] : a["to_part"][r + 1]]
+            for s, t in zip(sums, told):
+                s[whose] += t
+        g.total, g.alpha = model.weigh(order, sums, last.count)
+        grams.append(g)
+    return grams
+
+
+def _lower_total(grams: list[Gram], n: int) -> np.ndarray:
+    """Per history of the next order: the divisor of the history without its first word (one, where that is empty)."""
+    return np.ones(n) if len(grams) == 1 else grams[-1].total[grams[-1].lower]
+
+
+def score_corpus(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", partition_bytes: int = 24_000_000, block_bytes: int = 6_000_000, split: int = 200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
-    The model is a bigram model with Katz backoff: p(w|v) = d(r) r / c(v) for pairs seen r times, else alpha(v) p(w); p(w) is
-    discounted likewise and leaves its rest to unseen words. alpha(v) makes each history's distribution over all words sum
-    to one exactly: the discounted mass over the unigram mass of words not seen after v, both summed over all of v's pairs.
+    The model is a Katz model of ``order`` words (2 or more): p(w|h) = d(r) r / c(h) for n-grams seen r times, else
+    alpha(h) p(w|h'), h' being h without its first word, down to p(w), which is discounted likewise and leaves its rest to
+    unseen words. alpha(h) makes each history's distribution over all words sum to one exactly: the discounted mass over the
+    lower-order mass of words not seen after h, both summed over all of h's continuations.
 
-    Word counts, pair counts and backoff weights are tables dealt by word, by pair and by history. A block of documents asks
-    each for its distinct keys (``blocks``), so a pair that is everywhere costs one entry a block and no history is gathered
-    in one task; then every token is evaluated against the answers.
+    The counts of each order are a table dealt by history. A block of documents asks it for its distinct n-grams
+    (``blocks``), so an n-gram that is everywhere costs one entry a block, and the continuations of a history that occurs more
+    than ``split`` times are dealt over several partitions. What a single block has (most longer n-grams) is settled there: an n-gram whose history is in
+    no other block can't be in one either, and its counts are already whole. Then every token is evaluated, order by order.
 
     Null texts are empty: one token, the end. Rows without id belong to the training part. Repeated rows count and return
-    each. Empty table: empty result.
+    each. A very long text is a block of its own: memory grows with the longest text. Empty table: empty result. Further
+    columns are ignored.
     """
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_parts = max(shuffle_partitions(spark), int(size // partition_bytes) + 1)
-    blocks = encode_blocks(docs, scratch, id_col, text_col, n_parts)
+    blocks = encode_blocks(docs, scratch, id_col, text_col, n_parts, block_bytes)
+    tasks = max(shuffle_partitions(spark), blocks.count())
+    slim = blocks.select("block", "blob")
 
     def ask_words(row):
         hashes, counts = unpack(row["words"])
@@ -142,6 +277,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def count_words(r, names, cols):
         keys, which = np.unique(np.concatenate([c[0] for c in cols]), return_inverse=True)
         counts = np.bincount(which, np.concatenate([c[1] for c in cols]), len(keys)).astype(np.int64)
+        alone = np.bincount(which) == 1
         rank = np.empty(len(keys), np.int64)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(keys))  # small numbers for frequent words
         number = (rank * n_parts + r).astype(np.uint64)
@@ -149,120 +285,95 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for name, c in zip(names, cols):
             w = which[at : at + len(c[0])]
             at += len(c[0])
-            yield name, pack([number[w], _drops(counts[w][np.argsort(number[w])])])
+            yield name, pack([number[w], _drops(counts[w][np.argsort(number[w])]), alone[w]])
         real = counts[keys != bos]
         yield -1, pack([real.sum(), (real > 0).sum(), _classes(real)])
-        yield -2, pack([number, counts])
-
-    words = answer(ask(blocks.select("block", "words"), ask_words), scratch, "words", count_words)
-    stats = [unpack(bytes(x[0])) for x in words.where("block = -1").select("blob").collect()]  # a few numbers a partition
-    n_train, n_types = int(sum(s[0] for s in stats)), int(sum(s[1] for s in stats))
-    classes = sum((s[2] for s in stats), np.zeros(_CUT + 3, np.int64))
-    d1 = discounts(classes)
-    seen_mass = 1.0 if not n_train else sum(d1[r] * r * classes[r] for r in range(1, _CUT + 1)) / n_train + (n_train - sum(r * classes[r] for r in range(1, _CUT + 1))) / n_train
-    unseen = max(1 - seen_mass, 0.5 / max(n_train, 1)) if n_train else 1.0
-    scale = (1 - unseen) / seen_mass if n_train else 0.0
 
-    def unigram(c):
-        d = np.where(c <= _CUT, d1[np.minimum(c, _CUT)], 1.0)
-        return np.where(c > 0, scale * d * c / max(n_train, 1), unseen)
+    def stats(table):
+        """A few numbers a partition."""
+        return [unpack(bytes(x[0])) for x in table.where("block = -1").select("blob").toLocalIterator()]
 
     told = lambda df, tag: df.where("block >= 0").select("block", "r", "blob", F.lit(tag).alias("tag"))
+    words = answer(ask(blocks.select("block", "words"), ask_words), scratch, "words", count_words, n_parts)
+    known = stats(words)
+    model = Model(int(sum(s[0] for s in known)), int(sum(s[1] for s in known)), sum((s[2] for s in known), np.zeros(_CUT + 3, np.int64)))
+    replies = told(words, 1)
+
+    def by_tag(rows):
+        out = {}
+        for t, r, x in rows:
+            out.setdefault(t, {})[r] = x
+        return out
+
+    def ask_grams(k: int, model: Model):
+        def run(row, rows):
+            b = unpack(row["blob"])
+            grams = _resolve(b, by_tag(rows), model, n_parts, split, k - 1)
+            last, g = grams[-1], _longer(b, grams)
+            _deal_grams(g, grams, n_parts, split)
+            a, low = g.asked, _lower_total(grams, len(last.count))
+            alone = _classes(g.mine[last.solo[g.history]])
+            for r in range(n_parts):
+                ours, mine = slice(a["to_part"][r], a["to_part"][r + 1]), a["ask"][a["of_part"][r] : a["of_part"][r + 1]]
+                here = row["block"] % n_parts == r
+                if ours.start == ours.stop and not here:
+                    continue
+                h = a["histories"][ours]
+                # sorted histories: differences are small; divisors are whole or half numbers
+                yield int(r), row["block"], pack([np.diff(last.number[h], prepend=np.uint64(0)), a["per"][ours].astype(np.uint32), np.rint(2 * low[h]).astype(np.int64), grams[0].number[g.word[mine]], g.mine[mine].astype(np.uint32), last.count[g.lower[mine]], alone if here else alone * 0])
+
+        return run
+
+    def count_grams(k: int, model: Model):
+        def run(r, names, cols):
+            h = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in cols])
+            low, alone = np.concatenate([c[2] for c in cols]) / 2, sum(c[6] for c in cols)
+            every = np.repeat(h, np.concatenate([c[1] for c in cols]))
+            w, n, below = (np.concatenate([c[i] for c in cols]) for i in (3, 4, 5))
+            by = np.lexsort((w, every))
+            first = np.r_[True, (every[by][1:] != every[by][:-1]) | (w[by][1:] != w[by][:-1])] if len(by) else np.zeros(0, bool)
+            which = np.empty(len(by), np.int64)
+            which[by] = np.cumsum(first) - 1
+            n_grams = int(first.sum())
+            total = np.bincount(which, n, n_grams).astype(np.int64)
+            single = np.bincount(which, minlength=n_grams) == 1
+            histories, some = np.unique(h, return_index=True)
+            one = by[first]
+            of = np.searchsorted(histories, every[one])
+            sums = _sums(total, of, model.lower(k - 1, below[one], low[some][of]), len(histories))
+            at = 0
+            for name, c in zip(names, cols):
+                mine = which[at : at + len(c[3])]
+                at += len(c[3])
+                whose = np.searchsorted(histories, np.cumsum(c[0], dtype=np.uint64))
+                shared = mine[~single[mine]] if k < order else mine[:0]
+                yield name, pack([total[mine].astype(np.uint32), single[mine] if k < order else np.ones(len(mine), bool), np.diff(shared, prepend=0).astype(np.uint64), *[s[whose] for s in sums]])
+            yield -1, pack([alone + _classes(total)])
+
+        return run
+
+    question = pa.schema([("r", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())])
+    for k in range(2, order + 1):
+        asked = with_replies(slim, replies, ask_grams(k, model), QUESTION, question, tasks)
+        table = answer(asked, scratch, f"grams-{k}", count_grams(k, model), n_parts)
+        model.d.append(discounts(sum((s[0] for s in stats(table)), np.zeros(_CUT + 3, np.int64))))
+        replies = replies.unionByName(told(table, k))
 
-    def looked_up(b, replies):
-        return answers({r: _numbered(x) for t, r, x in replies if t == "w"}, np.arange(b["bounds"][-1]), b["bounds"], [np.uint64, np.int64])
-
-    def keyed(b, number):
-        distinct, which, counts = _pairs(b)
-        v, w = np.divmod(distinct, int(b["bounds"][-1]))
-        part = (number[v] * np.uint64(0x9E3779B97F4A7C15) + number[w] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
-        part %= np.uint64(n_parts)
-        order = np.lexsort((number[w], number[v], part))
-        return which, counts, v, w, order, np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
-
-    def ask_pairs(row, replies):
-        b = unpack(row["blob"])
-        number, count = looked_up(b, replies)
-        which, counts, v, w, order, bounds = keyed(b, number)
-        narrow = np.uint32 if number.max() < 1 << 32 else np.uint64
-        cols = [number[v].astype(narrow), number[w].astype(narrow), counts.astype(np.uint32), count[w]]
-        cols = [c[order] for c in cols]
-        for r in np.flatnonzero(np.diff(bounds)):
-            h, word, n, of_word = (c[bounds[r] : bounds[r + 1]] for c in cols)
-            first = np.unique(word, return_index=True)[1]
-            yield int(r), row["block"], pack([np.diff(h, prepend=h.dtype.type(0)), word, n, _drops(of_word[first])])  # sorted histories: differences are small
-
-    asked = with_replies(blocks.select("block", "blob"), told(words, "w"), ask_pairs, "r int, block long, blob binary", pa.schema([("r", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())]))
-
-    def count_pairs(r, names, cols):
-        v = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in cols])
-        w, n = (np.concatenate([c[i] for c in cols]).astype(np.uint64) for i in (1, 2))
-        cw = np.concatenate([_undrop(c[3])[np.unique(c[1], return_inverse=True)[1]] for c in cols])
-        order = np.lexsort((w, v))
-        v, w, n, cw = v[order], w[order], n[order].astype(np.int64), cw[order]
-        first = np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])]
-        group = np.cumsum(first) - 1
-        total = np.bincount(group, n).astype(np.int64)
-        back = np.empty(len(order), np.int64)
-        back[order] = total[group]
-        at = 0
-        for name, c in zip(names, cols):
-            yield name, pack([back[at : at + len(c[0])].astype(np.uint32)])
-            at += len(c[0])
-        hv, pw = v[first][total > 0], unigram(cw[first][total > 0])
-        total = total[total > 0]
-        histories, of = np.unique(hv, return_inverse=True)
-        by_class = [np.bincount(of, total == k, len(histories)) for k in range(1, _CUT + 1)]
-        high = np.bincount(of, np.where(total > _CUT, total, 0), len(histories))
-        mass = np.bincount(of, pw, len(histories))
-        yield -1, pack([_classes(total)])
-        part = histories % np.uint64(n_parts)
-        for p in np.unique(part):
-            k = part == p
-            yield -2 - int(p), pack([histories[k], *[c[k] for c in by_class], high[k], mass[k]])
-
-    pairs = answer(asked, scratch, "pairs", count_pairs)
-    stats = [unpack(bytes(x[0]))[0] for x in pairs.where("block = -1").select("blob").collect()]
-    d2 = discounts(sum(stats, np.zeros(_CUT + 3, np.int64)))
-
-    # backoff weights: partial sums of a history's pairs meet the partition that numbered the word; blocks' words ask there
-    sums = pairs.where("block <= -2").select((-2 - F.col("block")).cast("int").alias("r"), F.lit(-3).cast("long").alias("block"), "blob")
-    known = words.where("block >= 0 or block = -2").select("r", "block", "blob")
-
-    def weigh(r, names, cols):
-        number, count = next(c for b, c in zip(names, cols) if b == -2)
-        order = np.argsort(number)
-        number, count = number[order], count[order]
-        used, mass = np.zeros(len(number)), np.zeros(len(number))
-        for b, c in zip(names, cols):
-            if b == -3:
-                at = np.searchsorted(number, c[0])
-                used[at] += sum(d2[k] * k * c[k] for k in range(1, _CUT + 1)) + c[_CUT + 1]
-                mass[at] += c[_CUT + 2]
-        # a history all of whose pairs are frequent has nothing taken off: half a count more leaves room for the others
-        full = count - used <= 1e-9
-        total = count + 0.5 * full
-        alpha = np.where(count > 0, (1 - used / total) / np.maximum(1 - mass, 1e-300), 1.0)
-        for b, c in zip(names, cols):
-            if b >= 0:
-                at = np.searchsorted(number, c[0])
-                yield b, pack([alpha[at], full[at]])
-
-    weights = answer(sums.unionByName(known), scratch, "weights", weigh)
-    everything = told(words, "w").unionByName(told(pairs, "p")).unionByName(told(weights, "a"))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def evaluate(row, replies):
+    def evaluate(row, rows):
         b = unpack(row["blob"])
-        number, count = looked_up(b, replies)
-        alpha, full = answers({r: x for t, r, x in replies if t == "a"}, np.arange(b["bounds"][-1]), b["bounds"], [np.float64, np.bool_])
-        total = count + 0.5 * full
-        which, _, v, w, order, bounds = keyed(b, number)
-        (seen,) = answers({r: x for t, r, x in replies if t == "p"}, order, bounds, [np.int64])
-        d = np.where(seen <= _CUT, d2[np.minimum(seen, _CUT)], 1.0)
-        p = np.where(seen > 0, d * seen / total[v], alpha[v] * unigram(count[w]))
-        logs, base = np.log10(p)[which], np.log10((count + 1) / (n_train + n_types + 1))[b["code"]]
+        grams = _resolve(b, by_tag(rows), model, n_parts, split, order)
+        count = grams[0].count
+        p = model.unigram(count)
+        token = p[grams[0].at]
+        for k, g in enumerate(grams[1:], 2):
+            p = np.where(g.count > 0, model.discounted(k, g.count) / np.maximum(g.total[g.history], 0.5), g.alpha[g.history] * p[g.lower])
+            token = np.where(g.at >= 0, p[g.at], token)
+        base = np.log10((count + 1) / (model.n_train + model.n_types + 1))[b["code"]]
         at = np.cumsum(b["len"]) - b["len"]
-        yield from zip([None if z else i for i, z in zip(b["ids"].tolist(), b["null"].tolist())], (~b["train"]).tolist(), b["len"].tolist(), np.add.reduceat((count[b["code"]] > 0).astype(np.int64), at).tolist(), [n_train] * len(at), np.add.reduceat(base, at).tolist(), np.add.reduceat(logs, at).tolist())
+        cols = [[None if z else i for i, z in zip(b["ids"].tolist(), b["null"].tolist())], (~b["train"]).tolist(), b["len"].tolist()]
+        cols += [np.add.reduceat((count[b["code"]] > 0).astype(np.int64), at).tolist(), [model.n_train] * len(at), np.add.reduceat(base, at).tolist(), np.add.reduceat(np.log10(token), at).tolist()]
+        yield from zip(*cols)
 
-    return with_replies(blocks.select("block", "blob"), everything, evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", schema)
+    return with_replies(slim, replies, evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", schema, tasks)

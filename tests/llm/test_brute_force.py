@@ -132,44 +132,60 @@ def test_sharding(docs, empty):
     assert sharding.shard_by_bytes(empty).collect() == []
 
 
-def test_katz_is_normalised_and_right(spark, docs, empty):
+def brute_katz(train, order):
+    """p(word, history) of a Katz model, from dictionaries of counts."""
+    grams = [None, Counter(w for d in train for w in d)]
+    for k in range(2, order + 1):
+        grams.append(Counter(tuple(x[i : i + k]) for d in train for x in [[0, *d]] for i in range(len(x) - k + 1)))
+    n = sum(grams[1].values())
+    disc = [None, *(katz_lm.discounts(np.bincount(np.minimum(list(c.values()), 7), minlength=8)[:8]) for c in grams[1:])]
+    taken = lambda k, r: (disc[k][r] if r <= 5 else 1.0) * r
+    mass = sum(taken(1, r) for r in grams[1].values()) / n
+    rest = max(1 - mass, 0.5 / n)
+    after = {}
+    for k in range(2, order + 1):
+        for g, r in grams[k].items():
+            after.setdefault(g[:-1], {})[g[-1]] = r
+
+    def p(w, h):
+        if not h:
+            return (1 - rest) / mass * taken(1, grams[1][w]) / n if grams[1][w] else rest
+        if h not in after:
+            return p(w, h[1:])
+        k = len(h) + 1
+        count, used = sum(after[h].values()), sum(taken(k, r) for r in after[h].values())
+        total = count if count - used > 1e-9 else count + 0.5
+        if w in after[h]:
+            return taken(k, after[h][w]) / total
+        return (1 - used / total) / (1 - sum(p(x, h[1:]) for x in after[h])) * p(w, h[1:])
+
+    return p, grams[1], n, after
+
+
+@pytest.mark.parametrize("order, sizes", [(2, {}), (3, {}), (3, {"block_bytes": 4_000, "partition_bytes": 9_000, "split": 20}), (4, {"block_bytes": 9_000, "split": 7})])
+def test_katz_is_normalised_and_right(docs, empty, order, sizes):
     def words(t):
         return [*(t or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split(), 1]
 
     train = [words(t) for i, t, *_ in corpus() if not katz_lm.held_out(i)]
-    one, two = Counter(w for d in train for w in d), Counter((v, w) for d in train for v, w in zip([0, *d], d))
-    c = Counter(v for v, _ in two.elements())
-    n = sum(one.values())
-    classes = lambda counts: np.bincount(np.minimum(list(counts.values()), 7), minlength=8)[:8]
-    d1, d2 = katz_lm.discounts(classes(one)), katz_lm.discounts(classes(two))
-    d = lambda k, r: k[r] if r <= 5 else 1.0
-    seen = sum(d(d1, r) * r for r in one.values()) / n
-    rest = max(1 - seen, 0.5 / n)
-    uni = lambda w: (1 - rest) / seen * d(d1, one[w]) * one[w] / n if one[w] else rest
-    assert sum(map(uni, one)) + rest == pytest.approx(1)
-    after = {}
-    for (v, w), r in two.items():
-        after.setdefault(v, {})[w] = r
-
-    def p(v, w):
-        if v not in after:
-            return uni(w)
-        used = sum(d(d2, r) * r for r in after[v].values())
-        total = c[v] if c[v] - used > 1e-9 else c[v] + 0.5
-        if w in after[v]:
-            return d(d2, after[v][w]) * after[v][w] / total
-        return (1 - used / total) / (1 - sum(uni(x) for x in after[v])) * uni(w)
-
-    for v in [0, *list(after)[:5]]:
-        assert sum(p(v, w) for w in one) + p(v, b"\0never") == pytest.approx(1)
-    got = {r.doc_id: r for r in katz_lm.score_corpus(docs).collect()}
+    p, one, n, after = brute_katz(train, order)
+    for h in [(), (0,), *list(after)[:3], *[h for h in after if len(h) == order - 1][:3]]:
+        assert sum(p(w, h) for w in one) + p(b"\0never", h) == pytest.approx(1)
+    known = {}
+    got = {r.doc_id: r for r in katz_lm.score_corpus(docs, order, **sizes).collect()}
     for i, t, *_ in corpus():
         w = words(t)
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(one[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((one[x] + 1) / (n + len(one) + 1)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([0, *w], w)))
-    assert katz_lm.score_corpus(empty).collect() == []
+        x, r = [0, *w], got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(one[v] > 0 for v in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((one[v] + 1) / (n + len(one) + 1)) for v in w))
+        want = 0.0
+        for k in range(1, len(x)):
+            key = x[k], tuple(x[max(0, k - order + 1) : k])
+            if key not in known:
+                known[key] = math.log10(p(*key))
+            want += known[key]
+        assert r.score == pytest.approx(want)
+    assert katz_lm.score_corpus(empty, order).collect() == []
 
 
 def test_embeddings(spark):
