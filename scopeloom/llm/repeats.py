@@ -1,46 +1,42 @@
 """Removal of repeated passages of 100 bytes and more by prefix-free parsing."""
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answer, answers, deal, mix64, pack, questions, to_batches, unpack, with_replies
+from .blocks import QUESTION, answer, deal, mix64, pack, to_batches, unpack, with_replies
 from .common import Scratch, ship, shuffle_partitions
 
 ship(__name__)
 
 _CHUNK = 1 << 20
 _LAST = np.iinfo(np.int64).max
-_TABLE = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
-_BASE = [0x5851F42D4C957F2D | 1, 0x14057B7EF767814F | 1]
-_powers: dict = {}
+_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0x5851F42D4C957F2D | 1
+_powers: list = []
 
 
-def _power(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base ** i and base ** -i modulo 2 ** 64 (the base is odd)."""
-    if k not in _powers or len(_powers[k][0]) < n:
-        out = []
-        for b in (_BASE[k], pow(_BASE[k], -1, 1 << 64)):
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(max(n, _CHUNK + 4096), b, np.uint64)
             p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        _powers[k] = tuple(out)
-    return _powers[k][0], _powers[k][1]
+            _powers.append(np.cumprod(p, dtype=np.uint64))
+    return _powers[0], _powers[1]
 
 
-class Rolling:
-    """Hashes of any substring of a buffer from one prefix sum."""
-
-    def __init__(self, buf: np.ndarray, k: int):
-        up, self.down = _power(k, len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_TABLE[k][buf] * up[: len(buf)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.sums[stop] - self.sums[start]) * self.down[start]
+def rolling(buf: np.ndarray):
+    """A function that gives the hashes of substrings [start, stop)."""
+    up, down = _power(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * up[: len(buf)], out=sums[1:])
+    return lambda start, stop: mix64((sums[stop] - sums[start]) * down[start])
 
 
 def pieces(texts: list[bytes], width: int, most: int = _CHUNK):
@@ -66,16 +62,16 @@ def pieces(texts: list[bytes], width: int, most: int = _CHUNK):
 def phrases(raw: bytes, where: list, width: int, trigger: int):
     """Parse a chunk. A ``trigger``-byte string whose rolling hash is least among those of a window of ``width`` bytes ends a
     phrase: equal windows hold the same trigger at the same place, wherever they are. A phrase is the run of windows with one
-    trigger; with its look-ahead it is the substring [lo, hi + width).
+    trigger; with its look-ahead it is the substring [lo, lo + n - 1 + width), so that no string of ``width`` bytes leaves the
+    phrase in which it starts.
 
-    Returns rolling hashes, and per phrase: lo, hi (starts), the trigger's hash, the substring's hash, the index in ``where``.
+    Returns per phrase: lo, number n of its windows, the trigger's place in it and hash, the phrase's hash, the index in
+    ``where``.
     """
     buf = np.frombuffer(raw, np.uint8)
-    h = Rolling(buf, 0)
-    n = len(buf) - trigger + 1
-    i = np.arange(n)
-    th = mix64(h.of(i, i + trigger))
-    low = (th & np.uint64(0xFFFFFFFF00000000)) | i.astype(np.uint64)
+    hashes, i = rolling(buf), np.arange(len(buf) - trigger + 1)
+    th = hashes(i, i + trigger)
+    low = (th & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(th), dtype=np.uint64)
     span, reach, least = width - trigger + 1, 1, low
     while reach * 2 <= span:
         least = np.minimum(least[: len(least) - reach], least[reach:])
@@ -86,208 +82,289 @@ def phrases(raw: bytes, where: list, width: int, trigger: int):
     starts = np.arange(counts.sum()) + np.repeat(offsets - (np.cumsum(counts) - counts), counts)
     piece = np.repeat(np.arange(len(where)), counts)
     t = first[starts]
-    new = np.r_[True, (t[1:] != t[:-1]) | (piece[1:] != piece[:-1])]
-    head = np.flatnonzero(new)
-    lo, hi = starts[head], starts[np.r_[head[1:] - 1, len(starts) - 1]]
-    at = t[head]
-    xh = mix64(h.of(lo, hi + width) ^ mix64((hi - lo).astype(np.uint64) * np.uint64(977) + (at - lo).astype(np.uint64)))
-    return h, lo, hi, th[at], xh, piece[head]
-
-
-def _first(keys: np.ndarray, *ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the row of each that comes first by ``ranks``, and each row's key."""
-    order = np.lexsort((*ranks[::-1], keys))
-    new = np.r_[True, keys[order][1:] != keys[order][:-1]] if len(keys) else np.zeros(0, bool)
-    back = np.empty(len(keys), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return keys[order][new], order[new], back
+    head = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (piece[1:] != piece[:-1])])
+    lo, at, n = starts[head], t[head], np.diff(np.r_[head, len(starts)])
+    return lo, n, at - lo, th[at], hashes(lo, lo + n - 1 + width), piece[head]
+
+
+def parse(texts: list[bytes], width: int, trigger: int) -> dict:
+    """The phrases of all texts, in order: text, lo, n, place of the trigger, its hash, the phrase's."""
+    cols = [[np.zeros(0, np.int64)] for _ in range(4)] + [[np.zeros(0, np.uint64)] for _ in range(2)]
+    for raw, where in pieces(texts, width):
+        lo, n, place, th, xh, piece = phrases(raw, where, width, trigger)
+        text, shift = np.array([w[0] for w in where])[piece], np.array([w[1] - w[2] for w in where])[piece]
+        for c, x in zip(cols, (text, lo + shift, n, place, th, xh)):
+            c.append(x)
+    return dict(zip(("text", "lo", "n", "place", "key", "phrase"), map(np.concatenate, cols)))
+
+
+def suffix_ranks(text: bytes, at: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes that start ``at``, all of ``depth`` bytes or more, in the suffix array of ``text`` as far as
+    ``depth`` bytes tell them apart: equal ranks are equal strings of ``depth`` bytes. Built by prefix doubling."""
+    buf = np.frombuffer(text + bytes(depth + 8), np.uint8)
+    rank = np.zeros(len(buf) - 7, np.uint64)
+    for k in range(8):
+        rank = (rank << np.uint64(8)) | buf[k : len(rank) + k]
+    known = min(8, depth)
+    if depth < 8:
+        return np.unique(rank[at] >> np.uint64(8 * (8 - depth)), return_inverse=True)[1]
+    rank = np.unique(rank, return_inverse=True)[1]
+    while known * 2 <= depth:  # ranks by the first half, then by the second
+        n = len(rank) - known
+        rank = np.unique(rank[:n] * (int(rank.max()) + 1) + rank[known:], return_inverse=True)[1]
+        known *= 2
+    rest = depth - known
+    return np.unique(rank[at] * (int(rank.max()) + 1) + rank[at + rest], return_inverse=True)[1]
+
+
+def first_holders(phrases_: list[bytes], keys: list[bytes], holder: np.ndarray, width: int, most: int = 1 << 20) -> list[np.ndarray | None]:
+    """For each of the dictionary's distinct phrases, which of its windows no other phrase has earlier: None for all of them,
+    else flags. ``keys`` are their triggers, ``holder`` the places of their first occurrences in corpus order.
+
+    Only phrases with a common trigger can share windows. A trigger with one phrase is settled; the others' phrases, some at
+    a time, are joined to a text, whose suffix ranks find equal windows; each is the first occurrence's."""
+    groups: dict = {}
+    for k, t in enumerate(keys):
+        groups.setdefault(t, []).append(k)
+    out: list = [None] * len(phrases_)
+    held, size = [], 0
+
+    def settle():
+        nonlocal held, size
+        if not held:
+            return
+        which = np.array(held)
+        lengths = np.array([len(phrases_[k]) for k in held])
+        n = lengths - width + 1
+        start = np.cumsum(lengths) - lengths
+        at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        rank = suffix_ranks(b"".join(phrases_[k] for k in held), at, width)
+        own = np.repeat(holder[which], n)
+        order = np.lexsort((own, rank))
+        first = np.r_[True, rank[order][1:] != rank[order][:-1]]
+        wins = np.zeros(len(at), bool)
+        wins[order[first]] = True
+        for k, flags in zip(held, np.split(wins, np.cumsum(n)[:-1])):
+            out[k] = None if flags.all() else flags
+        held, size = [], 0
+
+    for members in groups.values():
+        if len(members) > 1:
+            held += members
+            size += sum(len(phrases_[k]) for k in members)
+            if size > most:
+                settle()
+    settle()
+    return out
 
 
 class Block:
-    """The phrases of a block of texts, in order of (id, place in the table)."""
-
-    def __init__(self, row: dict, width: int, trigger: int):
-        self.ids, texts = unpack(row["blob"])
-        key = [_LAST if i is None else i for i in self.ids]
-        order = sorted(range(len(key)), key=key.__getitem__)  # stable: rows of one id keep the table's order
-        self.order = np.array([key[k] for k in order], np.int64)
-        self.ids, self.texts = [self.ids[k] for k in order], [texts[k] for k in order]
-        self.width, self.parts = width, []
-        cols = [[] for _ in range(6)]
-        for raw, where in pieces(self.texts, width):
-            h, lo, hi, th, xh, piece = phrases(raw, where, width, trigger)
-            text, place = np.array([w[0] for w in where])[piece], np.array([w[1] - w[2] for w in where])[piece]
-            for c, x in zip(cols, (th, xh, text, lo + place, hi - lo + 1, np.full(len(lo), len(self.parts)))):
-                c.append(x)
-            self.parts.append((raw, lo))
-        self.th, self.xh, self.text, self.lo, self.n, self.part = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
-        self.th, self.xh = self.th.astype(np.uint64), self.xh.astype(np.uint64)
-
-    def triggers(self):
-        return _first(self.th, self.text, self.lo)
-
-    def windows(self, which: np.ndarray):
-        """Every window of the phrases ``which``: two hashes, text, start."""
-        out = [[] for _ in range(4)]
-        at = 0
-        for k, (raw, lo) in enumerate(self.parts):
-            rows = np.arange(at, at + len(lo))
-            at += len(lo)
-            rows = rows[which[rows]]
-            if not len(rows):
-                continue
-            buf = np.frombuffer(raw, np.uint8)
-            n = self.n[rows]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = np.repeat(lo[rows - (at - len(lo))], n) + step
-            for c, x in zip(out, (*(mix64(Rolling(buf, j).of(start, start + self.width)) for j in (0, 1)), np.repeat(self.text[rows], n), np.repeat(self.lo[rows], n) + step)):
-                c.append(x)
-        a, b, text, start = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
-        return a.astype(np.uint64), b.astype(np.uint64), text.astype(np.int64), start.astype(np.int64)
-
-
-def remove_repeats(docs: DataFrame, width: int = 100, trigger: int = 40, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, block_bytes: int = 6_000_000, partition_bytes: int = 24_000_000) -> DataFrame:
+    """A block of texts in order of (id, place in the table), with their phrases."""
+
+    def __init__(self, row: dict, width: int):
+        self.ids, self.texts, p, self.bounds = unpack(row["blob"])
+        self.order = np.array([_LAST if i is None else i for i in self.ids], np.int64)
+        self.text, self.n, self.place, self.key = (p[c].astype(np.int64) for c in ("text", "n", "place", "key"))
+        # a text's phrases follow each other without a gap
+        end = np.cumsum(self.n)
+        new = np.r_[True, self.text[1:] != self.text[:-1]] if len(end) else np.zeros(0, bool)
+        self.lo = end - self.n - np.repeat((end - self.n)[new], np.diff(np.r_[np.flatnonzero(new), len(end)]))
+        self.width = width
+
+    def repeated(self, replies: dict, n_parts: int) -> dict:
+        """The phrases whose trigger occurs again, in corpus order: text, lo, n, place of the trigger, partition, and the
+        distinct ones with their first occurrence. Those of a frequent trigger are cut into their windows, dealt each by its
+        own bytes."""
+        state = np.zeros(int(self.bounds[-1]), np.uint8)
+        for r, (flags,) in replies.items():
+            state[self.bounds[r] : self.bounds[r + 1]] = flags
+        state = state[self.key]
+        which = np.flatnonzero(state)
+        cut = state[which] == 2
+        times = np.where(cut, self.n[which], 1)
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        which, cut = np.repeat(which, times), np.repeat(cut, times)
+        text, lo, n, place = self.text[which], self.lo[which] + step, np.where(cut, 1, self.n[which]), self.place[which] - step
+        found: dict = {}
+        for k, t, a, b in zip(range(len(text)), text.tolist(), lo.tolist(), (lo + n - 1 + self.width).tolist()):
+            found.setdefault(self.texts[t][a:b], k)
+        at = np.array(list(found.values()), np.int64)
+        part = np.searchsorted(self.bounds, self.key[which[at]], "right") - 1
+        for j in np.flatnonzero(cut[at]).tolist():
+            lo_ = lo[at[j]]
+            part[j] = zlib.crc32(self.texts[text[at[j]]][lo_ : lo_ + self.width]) % n_parts
+        return {"text": text, "lo": lo, "n": n, "place": place, "found": found, "at": at, "part": part}
+
+
+def remove_repeats(docs: DataFrame, width: int = 100, trigger: int = 40, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, block_bytes: int = 6_000_000, partition_bytes: int = 24_000_000, frequent: int | None = None) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes, with ``keep_text``).
 
     A byte goes if a string of ``width`` bytes that covers it also starts earlier, in the order of (id, place). Strings are
     judged on the input; matches never cross documents.
 
     1. Rolling-hash triggers parse each text into phrases (``phrases``); equal strings lie in phrases with equal triggers.
-    2. The dictionary of triggers is kept by partition: how often a trigger occurs, whether all its phrases are the same
-       string, and which block has its first. A trigger that occurs once can't lie in a repeat: unique text ends here. One
-       with a single phrase decides all its windows at once.
-    3. Only where equal triggers stand in differing phrases (the edges of copied regions) are the phrases' windows
-       themselves ordered, by a 128-bit hash of the whole string; it needs no order beyond ``width`` bytes, so equality
-       of hashes replaces the comparison of suffixes.
+       A text is parsed once, and kept with its parse.
+    2. Triggers that occur once in the corpus, nearly all of unique text, end here: only 48 bits of their hash are
+       exchanged, since a chance agreement costs a phrase sent in vain and no error.
+    3. The dictionary: the distinct phrases of the others, by trigger, byte for byte. Where one trigger has several phrases,
+       their suffix ranks to the depth of ``width`` order all windows (``first_holders``). Phrases overlap, so that no order
+       beyond the phrase is needed, and the parse adds what the dictionary lacks: which occurrence comes first in the corpus.
+       A trigger with more than ``frequent`` phrases (as many as fill a partition: the edge of a passage that very many
+       texts share) is dealt by windows, so that no partition holds it.
+    4. Every phrase of the parse is the first holder of some of its windows, or repeats them.
 
     Groups of copies meet once per block of texts and never in pairs. Null texts are empty (not changed, digest of nothing);
     texts under ``width`` bytes stay. Null ids come after all others; rows of one id are ordered by their place in the
-    table. Empty table: empty result.
+    table. A very long text is a block of its own, parsed in chunks: memory grows with the longest text. Empty table: empty
+    result. Further columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "repeats")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "repeats")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n_parts = max(shuffle_partitions(spark), int(size // partition_bytes) + 1)
+    frequent = frequent or partition_bytes // (2 * width)
 
     def cut(batches):
         from pyspark import TaskContext
 
+        part = TaskContext.get().partitionId() << 32
+
+        def close(ids, texts, number):
+            order = sorted(range(len(ids)), key=lambda k: _LAST if ids[k] is None else ids[k])  # stable: rows of one id keep the table's order
+            texts = [texts[k] for k in order]
+            p = parse(texts, width, trigger)
+            keys, back = np.unique(p["key"] >> np.uint64(16), return_inverse=True)
+            many = np.bincount(back, minlength=len(keys)) > 1
+            by = np.lexsort((p["phrase"], back))
+            new = np.r_[True, (back[by][1:] != back[by][:-1]) | (p["phrase"][by][1:] != p["phrase"][by][:-1])] if len(by) else np.zeros(0, bool)
+            kinds = np.bincount(back[by][new], minlength=len(keys)).astype(np.uint32)
+            order_, bounds = deal(keys, n_parts)
+            rank = np.empty(len(keys), np.int64)
+            rank[order_] = np.arange(len(keys))
+            p = {"text": p["text"].astype(np.uint32), "n": p["n"].astype(np.uint32), "place": p["place"].astype(np.uint16), "key": rank[back].astype(np.uint32)}
+            return part + number, pack((keys[order_], many[order_], kinds[order_], bounds)), pack(([ids[k] for k in order], texts, p, bounds))
+
         def rows():
             ids, texts, size, number = [], [], 0, 0
-            part = TaskContext.get().partitionId() << 32
             for b in batches:
                 for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                     ids.append(i)
                     texts.append((t.as_py() or "").encode("utf-8", "replace"))
                     size += len(texts[-1]) + 16
                     if size > block_bytes:
-                        yield part + number, size, pack((ids, texts))
+                        yield close(ids, texts, number)
                         ids, texts, size, number = [], [], 0, number + 1
             if ids:
-                yield part + number, size, pack((ids, texts))
+                yield close(ids, texts, number)
 
-        yield from to_batches(rows(), pa.schema([("block", pa.int64()), ("size", pa.int64()), ("blob", pa.binary())]), 8_000_000)
+        yield from to_batches(rows(), pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("blob", pa.binary())]), 8_000_000)
 
-    blocks = scratch.table(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, "block long, size long, blob binary"), "blocks")
-    n_bytes = blocks.agg(F.sum("size")).first()[0] or 0
-    n_parts = max(shuffle_partitions(docs.sparkSession), n_bytes // partition_bytes + 1)
+    blocks = scratch.table(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, "block long, keys binary, blob binary"), "blocks")
+    tasks = max(shuffle_partitions(spark), blocks.count())
+    question = pa.schema([("r", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())])
 
     def emit_triggers(batches):
         def rows():
             for batch in batches:
                 for row in batch.to_pylist():
-                    b = Block(row, width, trigger)
-                    keys, first, back = b.triggers()
-                    if not len(keys):
-                        continue
-                    x = b.xh[first]
-                    same = np.ones(len(keys), bool)
-                    np.logical_and.at(same, back, b.xh == x[back])
-                    order, bounds = deal(keys, n_parts)
-                    yield from questions(row["block"], order, bounds, [keys, x, b.order[b.text[first]], np.bincount(back).astype(np.int64) > 1, same])
-
-        yield from to_batches(rows(), pa.schema([("r", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())]))
+                    keys, many, kinds, bounds = unpack(row["keys"])
+                    for r in np.flatnonzero(np.diff(bounds)):
+                        s = slice(bounds[r], bounds[r + 1])
+                        yield int(r), row["block"], pack([np.diff(keys[s], prepend=np.uint64(0)), many[s], kinds[s]])  # sorted: differences are smaller
+
+        yield from to_batches(rows(), question)
 
     def judge_triggers(r, names, cols):
-        keys, x, rank, many, same = (np.concatenate([c[i] for c in cols]) for i in range(5))
-        name = np.repeat(np.array(names), [len(c[0]) for c in cols])
-        distinct, first, back = _first(keys, rank, name)
-        alike = np.ones(len(distinct), bool)
-        np.logical_and.at(alike, back, same & (x == x[first][back]))
-        repeated = (np.bincount(back) > 1) | (np.bincount(back, many) > 0)
-        kind = np.where(~repeated, 0, np.where(alike, 1, 2))[back].astype(np.uint8)  # once, one phrase, several phrases
-        mine = np.zeros(len(keys), bool)
-        mine[first] = True
+        keys, which = np.unique(np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in cols]), return_inverse=True)
+        again = (np.bincount(which) > 1) | (np.bincount(which, np.concatenate([c[1] for c in cols])) > 0)
+        again = again * (1 + (np.bincount(which, np.concatenate([c[2] for c in cols])) > frequent)).astype(np.uint8)
         at = 0
         for n, c in zip(names, cols):
-            s = slice(at, at + len(c[0]))
+            yield n, pack([again[which[at : at + len(c[0])]]])
             at += len(c[0])
-            yield n, pack([kind[s], mine[s]])
 
     slim = blocks.select("block", "blob")
-    dictionary = answer(slim.mapInArrow(emit_triggers, "r int, block long, blob binary"), scratch, "dictionary", judge_triggers)
-
-    def verdicts(b, replies):
-        keys, first, back = b.triggers()
-        order, bounds = deal(keys, n_parts)
-        kind, mine = answers({r: x for t, r, x in replies if t == "t"}, order, bounds, [np.uint8, bool])
-        return kind[back], mine[back] & (first[back] == np.arange(len(back)))
-
-    def emit_windows(row, replies):
-        b = Block(row, width, trigger)
-        kind, _ = verdicts(b, replies)
-        a, c, text, start = b.windows(kind == 2)
-        if not len(a):
-            return
-        keys, first, back = _first(a ^ mix64(c), text, start)
-        order, bounds = deal(keys, n_parts)
-        yield from questions(row["block"], order, bounds, [keys, c[first], b.order[text[first]]])
-
+    triggers = answer(blocks.select("block", "keys").mapInArrow(emit_triggers, QUESTION), scratch, "triggers", judge_triggers, n_parts)
     told = lambda df, tag: df.select("block", "r", "blob", F.lit(tag).alias("tag"))
-    asked = with_replies(slim, told(dictionary, "t"), emit_windows, "r int, block long, blob binary", pa.schema([("r", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())]))
-
-    def judge_windows(r, names, cols):
-        keys, c, rank = (np.concatenate([x[i] for x in cols]) for i in range(3))
-        name = np.repeat(np.array(names), [len(x[0]) for x in cols])
-        order = np.lexsort((name, rank, c, keys))
-        new = np.r_[True, (keys[order][1:] != keys[order][:-1]) | (c[order][1:] != c[order][:-1])]
-        mine = np.zeros(len(keys), bool)
-        mine[order[new]] = True
-        at = 0
-        for n, x in zip(names, cols):
-            yield n, pack([mine[at : at + len(x[0])]])
-            at += len(x[0])
 
-    windows = answer(asked, scratch, "windows", judge_windows)
+    def emit_phrases(row, replies):
+        b = Block(row, width)
+        u = b.repeated({r: x for t, r, x in replies if t == "t"}, n_parts)
+        names, by = list(u["found"]), np.argsort(u["part"], kind="stable")
+        for mine in np.split(by, np.flatnonzero(np.diff(u["part"][by])) + 1) if len(by) else []:
+            k = u["at"][mine]
+            yield int(u["part"][mine[0]]), row["block"], pack([np.diff(b.order[u["text"][k]], prepend=0), u["n"][k].astype(np.uint32), u["place"][k].astype(np.uint16), np.frombuffer(b"".join(names[x] for x in mine.tolist()), np.uint8)])
+
+    asked = with_replies(slim, told(triggers, "t"), emit_phrases, QUESTION, question, tasks)
+
+    def judge_phrases(r, names, cols):
+        known, triggers, of = {}, [], []
+        for _, n, place, raw in cols:
+            raw, at = raw.tobytes(), 0
+            for length, p in zip((n.astype(np.int64) + width - 1).tolist(), place.tolist()):
+                x = raw[at : at + length]
+                at += length
+                k = known.setdefault(x, len(known))
+                if k == len(triggers):
+                    triggers.append(x[p : p + trigger])
+                of.append(k)
+        of = np.array(of)
+        sizes = [len(c[1]) for c in cols]
+        rank, seq = np.concatenate([np.cumsum(c[0]) for c in cols]), np.concatenate([np.arange(n) for n in sizes])
+        order = np.lexsort((seq, np.repeat(np.array(names), sizes), rank))  # corpus order
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        holder = np.full(len(known), len(order))
+        np.minimum.at(holder, of, place)
+        flags = first_holders(list(known), triggers, holder, width)
+        mine = place == holder[of]
+        at = 0
+        for name, size in zip(names, sizes):
+            s = slice(at, at + size)
+            at += size
+            some = [flags[k] for k, first in zip(of[s].tolist(), mine[s].tolist()) if first]
+            state = mine[s].astype(np.uint8)  # 0: a repeat as a whole, 1: the first holder, 2: of the windows flagged
+            state[mine[s]] = [1 if f is None else 2 for f in some]
+            bits = [f for f in some if f is not None]
+            yield name, pack([state, np.packbits(np.concatenate(bits)) if bits else np.zeros(0, np.uint8)])
+
+    dictionary = answer(asked, scratch, "dictionary", judge_phrases, n_parts)
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep_text:
         fields, schema = [*fields, ("kept", pa.binary())], schema + ", kept binary"
 
     def finish(row, replies):
-        b = Block(row, width, trigger)
-        text, lo, hi = [], [], []
-        if len(b.th):
-            kind, first = verdicts(b, replies)
-            whole = (kind == 1) & ~first
-            text, lo, hi = [b.text[whole]], [b.lo[whole]], [b.lo[whole] + b.n[whole] - 1 + width]
-            a, c, t, start = b.windows(kind == 2)
-            if len(a):
-                keys, at, back = _first(a ^ mix64(c), t, start)
-                order, bounds = deal(keys, n_parts)
-                (mine,) = answers({r: x for tag, r, x in replies if tag == "w"}, order, bounds, [bool])
-                again = ~(mine[back] & (at[back] == np.arange(len(back))))
-                text.append(t[again]), lo.append(start[again]), hi.append(start[again] + width)
-        lengths = np.array([len(t) for t in b.texts], np.int64)
-        base = np.cumsum(lengths + 1) - lengths - 1  # a gap between texts, so that spans never join
-        change = np.zeros(int((lengths + 1).sum()) + 1, np.int32)
-        if text:
-            off = base[np.concatenate(text).astype(np.int64)]
-            np.add.at(change, off + np.concatenate(lo).astype(np.int64), 1)
-            np.add.at(change, off + np.concatenate(hi).astype(np.int64), -1)
-        gone = np.cumsum(change) > 0
-        for i, t, at, n in zip(b.ids, b.texts, base.tolist(), lengths.tolist()):
-            g = gone[at : at + n]
-            removed = int(g.sum())
-            kept = t if not removed else np.frombuffer(t, np.uint8)[~g].tobytes()
-            spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if removed else 0
-            yield (i, n, removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else []))
-
-    return with_replies(slim, told(dictionary, "t").unionByName(told(windows, "w")), finish, schema, pa.schema(fields))
+        b = Block(row, width)
+        u = b.repeated({r: x for t, r, x in replies if t == "t"}, n_parts)
+        at, text, lo, n = u["at"], u["text"], u["lo"], u["n"]
+        spans = [[] for _ in b.texts]  # (from, to) of windows that repeat
+        gone = np.ones(len(text), bool)  # a later occurrence of a phrase repeats all its windows
+        gone[at] = False
+        for tag, r, x in replies:
+            if tag == "t":
+                continue
+            state, bits = x
+            mine = at[u["part"] == r]
+            gone[mine[state == 0]] = True
+            some = mine[state == 2]
+            again = np.flatnonzero(~np.unpackbits(bits, count=int(n[some].sum())).astype(bool))
+            whose = np.repeat(np.arange(len(some)), n[some])[again]
+            start = lo[some][whose] + again - (np.cumsum(n[some]) - n[some])[whose]
+            for t, a in zip(text[some][whose].tolist(), start.tolist()):
+                spans[t].append((a, a + width))
+        for t, a, c in zip(text[gone].tolist(), lo[gone].tolist(), (lo + n - 1 + width)[gone].tolist()):
+            spans[t].append((a, c))
+        for i, t, cuts in zip(b.ids, b.texts, spans):
+            kept, removed, runs, end = [], 0, 0, 0
+            for lo, hi in sorted(cuts):
+                if lo > end or not runs:
+                    runs += 1
+                    kept.append(t[end:lo])
+                    end = lo
+                removed += max(0, hi - end)
+                end = max(end, hi)
+            kept = t if not cuts else b"".join([*kept, t[end:]])
+            yield (i, len(t), int(removed), runs, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else []))
+
+    return with_replies(slim, told(triggers, "t").unionByName(told(dictionary, "d")), finish, schema, pa.schema(fields), tasks)

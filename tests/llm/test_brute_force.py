@@ -48,8 +48,8 @@ def test_repeats(docs, empty):
             seen.add(w)
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
-    for size in (6_000_000, 3_000):
-        got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(docs, block_bytes=size).collect()}
+    for size, frequent in ((6_000_000, None), (3_000, None), (3_000, 1)):
+        got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(docs, block_bytes=size, frequent=frequent).collect()}
         assert got == want
     assert repeats.remove_repeats(empty).collect() == []
 
@@ -63,6 +63,37 @@ def test_long_texts_are_cut_with_overlap(monkeypatch):
             assert raw[off : off + n + 99] == texts[k][at : at + n + 99]
 
 
+def test_repeats_in_long_and_periodic_texts(spark):
+    """Texts above a chunk, with far repeats, periods and equal phrases in differing surroundings, against brute force."""
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_300_000))
+    far = long[:700_000] + long[100_000:250_000] + "é" * 400 + long[650_000:900_000]
+    rows = [(5, far), (3, long[200_000:260_000]), (None, long[:300]), (7, "abc" * 500), (7, "abc" * 500), (9, "z" * 99), (2, "cab" * 200 + long[:150]), (8, None)]
+    seen, want = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            w = hash(b[s : s + 100])
+            if w in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(w)
+        kept = bytes(np.frombuffer(b, np.uint8)[np.frombuffer(bytes(gone), np.uint8) == 0])
+        want.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for size, frequent in ((6_000_000, None), (100_000, 2)):
+        got = [tuple(r) for r in repeats.remove_repeats(table, block_bytes=size, frequent=frequent).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_suffix_ranks_are_the_suffix_arrays():
+    text = bytes(random.Random(4).choices(b"ab", k=600))
+    at = np.arange(500)
+    for depth in (5, 8, 20, 100):
+        names = sorted({text[i : i + depth] for i in at})
+        assert repeats.suffix_ranks(text, at, depth).tolist() == [names.index(text[i : i + depth]) for i in at]
+
+
 def test_simhash(docs, empty):
     def print_of(t):
         w = (t or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
