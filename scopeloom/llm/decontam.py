@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower
+from .common import Scratch, ascii_lower, carried, uncarried
 
 #: Characters that end a word: ASCII other than letters and digits.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,11 +48,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
     Null or empty texts have no words and no hits; null or wordless items have no windows; an item without id hits but isn't
     listed. Items that share an id (or have none) are told apart by a hash of their words. Repeated documents each return;
-    repeated items count once. Empty tables: no hits, or no rows.
+    repeated items count once. Item ids of any type are read as strings. Very long texts: a row holds its text's words. Empty
+    tables: no hits, or no rows. Further columns are ignored; those in ``keep`` may have any name, but a result replaces one of
+    its own name.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
-    keep = [c for c in keep or [] if c != "doc_id"]
-    items = scratch.table(benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct().withColumn("item", F.xxhash64("w")), "items")
+    docs = carried(docs, ["doc_id", "text"], keep)
+    items = scratch.table(benchmark.select(F.col("item_id").cast("string"), words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct().withColumn("item", F.xxhash64("w")), "items")
     orders = [r[0] for r in items.select(F.least(F.lit(shingle), F.size("w"))).distinct().collect()]  # at most ``shingle`` numbers
     corpus = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), words(F.col("text")).alias("w"))
 
@@ -88,14 +90,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         joined = aligned.join(_small(texts), (F.col("item") == F.col("_item")) & F.col("item_id").eqNullSafe(F.col("_id_of")))
         found = joined.groupBy(F.col("doc_id").alias("_id"), "k").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("c"))
         found = _small(scratch.table(found, "found"))
-    base = docs.select("doc_id", *keep, F.xxhash64("doc_id", "text").alias("k"), words(F.col("text")).alias("w"))
+    base = docs.select("doc_id", "_kept", F.xxhash64("doc_id", "text").alias("k"), words(F.col("text")).alias("w"))
     if found is None:
-        base = base.withColumn("c", F.expr("cast(null as array<struct<item_id bigint, shift int, words array<string>>>)"))
+        base = base.withColumn("c", F.expr("cast(null as array<struct<item_id string, shift int, words array<string>>>)"))
     else:
         hit = found.withColumnRenamed("k", "_k")
         base = base.join(hit, (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    w, c = F.col("w"), F.coalesce(F.col("c"), F.array().cast("array<struct<item_id:bigint,shift:int,words:array<string>>>"))
-    judged = base.select("doc_id", *keep, F.size(w).cast("long").alias("n_words"), F.filter(F.transform(c, lambda x: F.struct(x["item_id"].alias("item_id"), _verified(w, x, window).alias("at"))), lambda x: F.size(x["at"]) > 0).alias("v"))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("v", lambda x: x["item_id"].cast("string")), lambda x: x.isNotNull())))
+    w, c = F.col("w"), F.coalesce(F.col("c"), F.array().cast("array<struct<item_id:string,shift:int,words:array<string>>>"))
+    judged = base.select("doc_id", "_kept", F.size(w).cast("long").alias("n_words"), F.filter(F.transform(c, lambda x: F.struct(x["item_id"].alias("item_id"), _verified(w, x, window).alias("at"))), lambda x: F.size(x["at"]) > 0).alias("v"))
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform("v", lambda x: x["item_id"]), lambda x: x.isNotNull())))
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("v", lambda x: x["at"])))).cast("long")
-    return judged.select("doc_id", *keep, "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    made = {"n_hit": n_hit, "n_items": F.size(ids).cast("long"), "items_sha256": F.sha2(F.array_join(ids, ",").cast("binary"), 256), "contaminated": n_hit > 0}
+    return uncarried(judged.withColumns(made), ["doc_id"], keep, ["n_words", *made])

@@ -59,7 +59,8 @@ def near_embeddings(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
 
     A task returns numbers of links per point and one edge per member of its local classes, not the pairs. Vectors that are
     null, empty, zero or hold null, infinite or NaN components link with nothing; vectors of different lengths never link.
-    Null ids keep their row. Repeated rows are rows. Empty table: empty result.
+    Rows without id keep their row and link like any other; a class's id is the smallest that isn't null (else null, and its
+    rows without id are kept). Repeated rows are rows. Empty table: empty result. Further columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession, "embed")
     v = F.col(vec_col)
@@ -68,7 +69,7 @@ def near_embeddings(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     fine = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (norm > 0), F.lit(False))
     keyed = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fine, v.cast(f"array<{kind}>")).alias("v"))
     keyed = scratch.table(keyed.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(11), "v").alias("h2")), "rows")
-    points = scratch.table(keyed.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("point"), F.count("*").alias("mult"), F.first("v").alias("v")).withColumn("dim", F.size("v")), "points")
+    points = scratch.table(keyed.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"), F.first("v").alias("v")).withColumns({"dim": F.size("v"), "point": F.monotonically_increasing_id()}), "points")
     dims = [(r[0], r[1]) for r in points.groupBy("dim").count().orderBy("dim").collect()]
     found = None
 
@@ -173,9 +174,12 @@ def near_embeddings(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = scratch.table(found, "found")
     links = found.where("n > 0").groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("others"))
-    classes = connected_components(found.where("n = 0").select("a", "b"), scratch).select(F.col("node").alias("point"), F.col("component").alias("component_id"))
-    known = scratch.table(points.select("h1", "h2", "point", "mult").join(links, "point", "left").join(classes, "point", "left"), "known")
-    rows = keyed.join(known, ["h1", "h2"], "left")
-    n_links = F.when(F.col("v").isNotNull(), F.col("mult") - 1 + F.coalesce("others", F.lit(0))).otherwise(0).cast("long")
-    component = F.when(F.col("v").isNotNull(), F.coalesce("component_id", "point")).otherwise(F.col("vec_id"))
-    return rows.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    classes = connected_components(found.where("n = 0").select("a", "b"), scratch).select(F.col("node").alias("point"), "component")
+    known = points.select("h1", "h2", "point", "mult", "least").join(links, "point", "left").join(classes, "point", "left")
+    known = scratch.table(known.withColumn("component", F.coalesce("component", "point")), "known")
+    named = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").drop("component", "least", "point")
+    rows = keyed.join(named, ["h1", "h2"], "left")
+    fine = F.col("v").isNotNull()
+    n_links = F.when(fine, F.col("mult") - 1 + F.coalesce("others", F.lit(0))).otherwise(0).cast("long")
+    component = F.when(fine, F.col("component_id")).otherwise(F.col("vec_id"))
+    return rows.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -1,11 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, the shingles themselves decide."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash find candidates, the shingles themselves decide."""
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, ship
+from . import simhash_vp
+from .common import Scratch, carried, connected_components, ship, uncarried
 
 ship(__name__)
 
@@ -38,25 +39,26 @@ def signature(hashes: np.ndarray, block: int = 2_048) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """Per row: number of distinct shingles, two hashes of their set and the bands' keys."""
+    """Per row: number of distinct shingles, two hashes of their set, its SimHash and the bands' keys."""
 
     def run(batches):
         import xxhash
 
         for b in batches:
-            n, h1, h2, keys = [], [], [], []
+            n, h1, h2, fp, keys = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 h = np.array(sorted(xxhash.xxh64_intdigest(s, 42) for s in shingles(t, words)), np.uint64)
                 n.append(len(h))
                 raw = h.tobytes()
                 h1.append(xxhash.xxh64_intdigest(raw, 1)), h2.append(xxhash.xxh64_intdigest(raw, 2))
+                fp.append(simhash_vp.majority([h], len(h)) if len(h) else 0)
                 keys.append(signature(h) if len(h) else np.zeros(BANDS, np.int64))
             flat = pa.array(np.concatenate(keys)) if keys else pa.array([], pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * BANDS, BANDS, dtype=np.int32)), flat)
-            hashed = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *hashed, lists], ["row", "n", "h1", "h2", "keys"])
+            hashed = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2, fp)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *hashed, lists], ["row", "n", "h1", "h2", "fp", "keys"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, n long, h1 long, h2 long, keys array<long>")
+    return rows.select("row", "text").mapInArrow(run, "row long, n long, h1 long, h2 long, fp long, keys array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
@@ -84,11 +86,12 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
     """(row, component) of every row of ``rows`` (row, text; written, row numbers distinct): the connected classes of texts
     whose sets of shingles have a Jaccard similarity of ``least`` or more.
 
-    Rows with equal sets are one point. Points that share a band are candidates if their sizes allow ``least``, and each
-    candidate is decided by its shingles. Links are first tried with the smallest and the largest point of each band, which
-    joins a large group of copies by few comparisons; then all pairs of a band that are still in different classes are
-    compared, so the classes are those of all pairs. Only groups of texts that are alike but below ``least`` cost all pairs.
-    Texts without words are one class.
+    Rows with equal sets are one point. First candidates are the neighbours at three bits or fewer of the points' SimHash, by
+    vantage-point trees (``simhash_vp``), and of each MinHash band the smallest and the largest point, which joins a large group
+    of copies by few comparisons. Then all pairs of a band that are still in different classes are compared, so the classes
+    are those of all pairs. Each candidate whose size allows ``least`` is decided by its shingles. (SimHash alone would need
+    a reach of some 16 bits for a similarity of 0.8, where triangle bounds prune nothing.) Only groups of texts that are
+    alike but below ``least`` cost all pairs. Texts without words are one class.
     """
     sketches = scratch.table(_sketches(rows, words), "sketches")
     sets = scratch.table(sketches.groupBy("h1", "h2").agg(F.min("row").alias("point")), "sets")
@@ -99,10 +102,16 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
     texts = rows.select("row", "text")
     sizes = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9
 
+    prints = scratch.table(points.groupBy("fp").agg(F.min("row").alias("least")), "prints")
+    linked = simhash_vp.link_fingerprints(prints.select("fp"), scratch)
+    linked = linked.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("end")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("point")), "b").select("point", "end")
+    alike = points.join(prints, "fp").where("row <> least").select(F.col("row").alias("point"), F.col("least").alias("end"))
+    alike = alike.unionByName(linked).join(points.select(F.col("row").alias("point"), "n"), "point").select("point", "end", "n")
+
     ends = bands.select("point", F.explode(F.array("low", "high")).alias("end"), "n").where("point <> end").distinct()
-    ends = ends.join(points.select(F.col("row").alias("end"), F.col("n").alias("m")), "end").where(sizes(F.col("n"), F.col("m")))
+    ends = ends.unionByName(alike).join(points.select(F.col("row").alias("end"), F.col("n").alias("m")), "end").where(sizes(F.col("n"), F.col("m")))
     tried = scratch.table(ends.select(F.least("point", "end").alias("a"), F.greatest("point", "end").alias("b")).distinct(), "tried")
-    links = scratch.table(_verified(tried, texts, least, words), "links")
+    links = scratch.table(_verified(tried, texts, least, words), "tried-links")
     found = scratch.table(connected_components(links, scratch), "found")
 
     named = bands.select("key", "point", "n").join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
@@ -123,12 +132,13 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
 
 def drop_near_copies(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
     """``docs`` with exactly one row of each class: the smallest id (null ids last), then the smallest hash of the text, then
-    the smallest number of the row in a written copy of ``docs``. Repeated rows and ids are rows like any other."""
+    the smallest number of the row in a written copy of ``docs``. Repeated rows and ids are rows like any other; texts without
+    words, null or empty, are one class. Very long texts: memory grows with their shingles. Empty table: empty result.
+    Further columns of any name are kept."""
     scratch = Scratch(docs.sparkSession, "near-copies")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = scratch.table(numbered, "rows")
-    keyed = rows.select(F.col("_row").alias("row"), "doc_id", "text")
+    rows = scratch.table(carried(docs, ["doc_id", "text"], docs.columns).withColumn("row", F.monotonically_increasing_id()), "rows")
+    keyed = rows.select("row", "doc_id", "text")
     named = classes(keyed, scratch, least, words).join(keyed.select("row", "doc_id", F.xxhash64("text").alias("t")), "row")
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "row")).alias("first"))
-    kept = scratch.table(first.select(F.col("first.row").alias("_row")), "kept")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = scratch.table(first.select(F.col("first.row").alias("row")), "kept")
+    return uncarried(rows.join(kept, "row", "left_semi"), [], docs.columns, [])

@@ -13,7 +13,7 @@ from .common import Scratch, ship, shuffle_partitions
 
 ship(__name__)
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _LAST = np.iinfo(np.int64).max
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x5851F42D4C957F2D | 1
@@ -196,7 +196,7 @@ class Block:
         return {"text": text, "lo": lo, "n": n, "place": place, "found": found, "at": at, "part": part}
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, trigger: int = 40, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, block_bytes: int = 6_000_000, partition_bytes: int = 24_000_000, frequent: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, trigger: int = 40, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, block_bytes: int = 3_000_000, partition_bytes: int = 24_000_000, frequent: int | None = None) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes, with ``keep_text``).
 
     A byte goes if a string of ``width`` bytes that covers it also starts earlier, in the order of (id, place). Strings are
@@ -257,7 +257,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, trigger: int = 40, id_col:
             if ids:
                 yield close(ids, texts, number)
 
-        yield from to_batches(rows(), pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("blob", pa.binary())]), 8_000_000)
+        yield from to_batches(rows(), pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("blob", pa.binary())]), 4_000_000)
 
     blocks = scratch.table(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, "block long, keys binary, blob binary"), "blocks")
     tasks = max(shuffle_partitions(spark), blocks.count())

@@ -1,10 +1,12 @@
 """Contiguous, byte-balanced shards from global prefix sums."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import ship, shuffle_partitions
+from .common import Scratch, carried, ship, shuffle_partitions, uncarried
 
 ship(__name__)
 
@@ -26,44 +28,36 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     made = ["size", "text_crc32", "shard", "slot"]
-    size = (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + overhead).alias("size")
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32")
-    kept = [c for c in docs.columns if c not in made] if carry else [id_col]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], size, crc)
-    order = [F.col(id_col).asc_nulls_first(), F.col("size"), F.col("text_crc32")]
-    placed = keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    if not (docs.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        from .common import shared_dir
-
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    placed = placed.checkpoint()  # range bounds are sampled anew in each run: the order must be fixed before it is counted
+    size = (F.coalesce(F.octet_length(F.col("_text")), F.lit(0)).cast("long") + overhead).alias("size")
+    crc = F.crc32(F.coalesce(F.col("_text"), F.lit("")).cast("binary")).alias("text_crc32")
+    kept = docs.columns if carry else []
+    keyed = carried(docs, [id_col, text_col], kept).toDF("_id", "_text", "_kept").select("_id", size, crc, "_kept")
+    order = [F.col("_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")]
+    sorted_ = keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    schema = StructType([*sorted_.schema.fields]).add("_bytes", "long").add("_row", "long")
+
+    def within(batches):
+        """Bytes and rows before each row in its partition."""
+        n_bytes, n_rows = 0, 0
+        for b in batches:
+            size = b.column("size").to_numpy(zero_copy_only=False)
+            ends = n_bytes + np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends - size), pa.array(np.arange(n_rows, n_rows + len(size)))], schema.names)
+            n_bytes, n_rows = int(ends[-1]) if len(ends) else n_bytes, n_rows + len(size)
+
+    # range bounds are sampled anew in each run: the order is fixed by writing it, together with the places in it
+    placed = Scratch(spark, "shards").table(sorted_.mapInArrow(within, schema), "placed")
     totals = sorted(placed.groupBy("_part").agg(F.sum("size"), F.count("*")).collect())
-    before, n_bytes, n_rows = {}, 0, 0
+    offsets, n_bytes, n_rows = [], 0, 0
     for part, b, n in totals:
-        before[part] = (n_bytes, n_rows)
+        offsets.append((part, n_bytes, n_rows))
         n_bytes, n_rows = n_bytes + b, n_rows + n
-    fields = [f for f in placed.schema.fields if f.name != "_part"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", shard int, _row long"
-
-    def cut(batches):
-        import numpy as np
-
-        at = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            if at is None:
-                at = list(before[batch.column("_part")[0].as_py()])
-            size = batch.column("size").to_numpy(zero_copy_only=False)
-            ends = np.cumsum(size) + at[0]
-            middle2 = 2 * ends.astype(object) - size  # Python integers: the product below may exceed 64 bits
-            shard = np.minimum(n_shards - 1, middle2 * n_shards // (2 * n_bytes)).astype(np.int32)
-            row = np.arange(at[1], at[1] + batch.num_rows, dtype=np.int64)
-            at = [int(ends[-1]), at[1] + batch.num_rows]
-            cols = [batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(shard), pa.array(row)], [*[f.name for f in fields], "shard", "_row"])
-
-    cutted = placed.mapInArrow(cut, schema)
-    first = {r[0]: r[1] for r in cutted.groupBy("shard").agg(F.min("_row")).collect()}  # n_shards numbers
+    # as many rows as there are partitions
+    joined = placed.join(F.broadcast(spark.createDataFrame(offsets, "_part int, _bytes_before long, _rows_before long")), "_part")
+    twice_middle = (2 * (F.col("_bytes") + F.col("_bytes_before")) + F.col("size")).cast("decimal(28,0)")
+    shard = F.least(F.lit(n_shards - 1), F.floor(twice_middle * F.lit(n_shards).cast("decimal(9,0)") / F.lit(max(2 * n_bytes, 1)).cast("decimal(28,0)")).cast("int"))
+    cut = joined.select("_id", "_kept", "size", "text_crc32", shard.alias("shard"), (F.col("_row") + F.col("_rows_before")).alias("_row"))
+    first = {r[0]: r[1] for r in cut.groupBy("shard").agg(F.min("_row")).collect()}  # n_shards numbers
     start = F.element_at(F.array(*[F.lit(first.get(i, 0)).cast("long") for i in range(n_shards)]), F.col("shard") + 1)
-    return cutted.select(*kept, "size", "text_crc32", "shard", (F.col("_row") - start).alias("slot"))
+    numbered = cut.withColumn("slot", F.col("_row") - start)
+    return uncarried(numbered, [], kept, made) if carry else numbered.select(F.col("_id").alias(id_col), *made)

@@ -26,11 +26,16 @@ def simhash(text: str | None, words: int = 3, seed: int = 42, block: int = 1 <<
     ends = np.cumsum([len(t) + 1 for t in tokens])
     starts = np.concatenate(([0], ends[:-1]))[: len(tokens) - words + 1].tolist()
     stops = (ends[words - 1 :] - 1).tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for i in range(0, len(starts), block):
-        h = np.array([digest(whole[a:b], seed) for a, b in zip(starts[i : i + block], stops[i : i + block])], ">u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(starts)).tobytes(), "big")
+    digest = xxhash.xxh64_intdigest
+    return majority(([digest(whole[a:b], seed) for a, b in zip(starts[i : i + block], stops[i : i + block])] for i in range(0, len(starts), block)), len(starts))
+
+
+def majority(hashes, n: int) -> int:
+    """The bits that more than half of ``n`` hashes have, which come in blocks."""
+    total = np.zeros(64, np.int64)
+    for h in hashes:
+        total += np.unpackbits(np.array(h, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3) -> DataFrame:
@@ -115,16 +120,20 @@ def near_pairs(points: np.ndarray, queries: np.ndarray, reach: int, leaf: int =
                 yield p[x], q[i + y]
 
 
-def link_fingerprints(distinct: DataFrame, scratch: Scratch, reach: int = 3, per_shard: int = 65_536, sample: int = 8_192) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, scratch: Scratch, reach: int = 3, per_shard: int = 65_536, sample: int = 8_192, least_levels: int = 4) -> DataFrame:
     """Edges (a, b) that join exactly the connected classes of fingerprints at ``reach`` or fewer differing bits.
 
-    ``distinct`` has one row per fingerprint (``fp``). Radii come from a bounded sample; every row is indexed: it lives in
-    one shard, and visits as a query all shards that the triangle bounds leave possible. A shard returns the links of its
-    local classes, one per member, rather than all pairs of a dense group.
+    ``distinct`` has one row per fingerprint (``fp``). The tree has as many levels as bring a shard to ``per_shard`` points.
+    Radii come from a bounded sample; every row is indexed: it lives in one shard, and visits as a query all shards that the
+    triangle bounds leave possible. A shard's visitors are dealt over as many tasks as their number asks for, each with the
+    shard's points. A task returns the links of its local classes, one per member, rather than all pairs of a dense group.
     """
     n = distinct.count()
-    levels = min(14, max(4, int(np.ceil(np.log2(max(1, n / per_shard))))))
-    some = [r[0] for r in distinct.orderBy(F.xxhash64("fp", F.lit(7))).limit(sample).collect()]
+    levels = max(least_levels, int(np.ceil(np.log2(max(1, n / per_shard)))))
+    # the rows with the least hashes, about ``sample`` of them, by a filter: a sorted limit would send as many from each partition
+    h = F.xxhash64("fp", F.lit(7))
+    drawn = distinct if n <= sample else distinct.where(h < int((sample / n - 0.5) * 2**64))
+    some = sorted(r[0] for r in drawn.select("fp").collect())
     tree = Tree(np.array(some, np.int64).view(np.uint64), levels)
 
     def route(batches):
@@ -134,7 +143,11 @@ def link_fingerprints(distinct: DataFrame, scratch: Scratch, reach: int = 3, per
             i, leaf = tree.visits(u, reach)
             yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(x[i]), pa.array(tree.home(u)[i] == leaf)], ["leaf", "fp", "home"])
 
-    routed = distinct.select("fp").mapInArrow(route, "leaf int, fp long, home boolean")
+    routed = scratch.table(distinct.select("fp").mapInArrow(route, "leaf int, fp long, home boolean"), "routed")
+    sizes = routed.groupBy("leaf").agg(F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("home")) / (4 * per_shard))).cast("int").alias("tasks"))
+    own = F.sequence(F.lit(0), F.col("tasks") - 1)
+    task = F.when(F.col("home"), own).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("tasks")).cast("int")))
+    dealt = routed.join(sizes, "leaf").select("leaf", "fp", "home", F.explode(task).alias("task"))
 
     def search(key, t):
         x = t.column("fp").to_numpy()
@@ -152,7 +165,7 @@ def link_fingerprints(distinct: DataFrame, scratch: Scratch, reach: int = 3, per
         child = np.flatnonzero(parent != np.arange(len(x)))
         return pa.table({"a": x[parent[child]], "b": x[child]})
 
-    return scratch.table(routed.groupBy("leaf").applyInArrow(search, "a long, b long"), "links")
+    return scratch.table(dealt.groupBy("leaf", "task").applyInArrow(search, "a long, b long"), "links")
 
 
 def simhash_components(docs: DataFrame, reach: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +173,8 @@ def simhash_components(docs: DataFrame, reach: int = 3, words: int = 3, id_col:
 
     Equal fingerprints are one point of the search; classes are found between points and carried back by a join, so groups
     of copies are never paired. Null and empty texts have fingerprint zero and link like any other. Null ids keep their row
-    (their class takes the smallest id that isn't null, else null). Repeated rows each return. Empty table: empty result.
+    (their class takes the smallest id that isn't null, else null). Repeated rows each return. A very long text is hashed in
+    blocks. Empty table: empty result. Further columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.table(fingerprints(docs, text_col, id_col, words), "fp")
