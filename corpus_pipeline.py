@@ -5,6 +5,7 @@ Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor k
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scopeloom.llm import decontam, mixing, near_copies, sharding, toxicity
 from scopeloom.llm.common import Scratch
@@ -14,21 +15,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Each row also as one struct, which operators carry along whatever its columns are called."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go."""
-    scored = toxicity.score_documents(docs, _table(spark, sf_dir, "labels"), keep=[c for c in docs.columns if c != "doc_id"])
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score_documents(_whole(docs), _table(spark, sf_dir, "labels"), keep=["row"])
+    return scored.where("predicted = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (Jaccard similarity of five-word shingles 0.8 or more), the document with the smallest id stays."""
+    """Of each class of near copies (Jaccard similarity of five-word shingles 0.8 or more; candidates from SimHash and vantage-point
+    trees first, MinHash bands for those beyond its reach), the document with the smallest id stays."""
     return near_copies.drop_near_copies(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a whole window of a benchmark item go."""
-    judged = decontam.contamination(docs, _table(spark, sf_dir, "benchmark"), keep=[c for c in docs.columns if c != "doc_id"])
-    return judged.where("not contaminated").select(*docs.columns)
+    judged = decontam.contamination(_whole(docs), _table(spark, sf_dir, "benchmark"), keep=["row"])
+    return judged.where("not contaminated").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
