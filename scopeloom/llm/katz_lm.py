@@ -16,7 +16,7 @@ ship(__name__)
 
 _LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CUT = 5  # counts up to this one are discounted
-_BLOCK = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("blob", pa.binary())])
+_BLOCK = pa.schema([("block", pa.int64()), ("part", pa.string()), ("blob", pa.binary())])
 
 
 def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
@@ -25,7 +25,7 @@ def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
 
 def encode_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, n_parts: int, block_bytes: int = 6_000_000) -> DataFrame:
     """The corpus as blocks of local word numbers; the texts are read and split once. Words are numbered in the order in which
-    they are dealt, so that later steps need only the bounds of the partitions, not the words' hashes."""
+    they are dealt, so that later steps need only the bounds of the partitions, not the words' hashes (a part of their own)."""
 
     def run(batches):
         import xxhash
@@ -42,7 +42,8 @@ def encode_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
             counts = np.bincount(code[np.repeat(train, lengths)], minlength=len(names)).astype(np.int64)
             counts[rank[0]] = train.sum()
             blob = pack({"ids": np.array([-1 if i is None else i for i in ids], np.int64), "null": np.array([i is None for i in ids]), "code": code, "len": np.array(lengths, np.int64), "train": train, "bos": int(rank[0]), "bounds": bounds})
-            return (TaskContext.get().partitionId() << 32) + number, pack((hashes[order], counts)), blob
+            block = (TaskContext.get().partitionId() << 32) + number
+            return [(block, "words", pack((hashes[order], counts))), (block, "text", blob)]
 
         ids, codes, lengths, words, size, number = [], [], [], {}, 0, 0
 
@@ -57,15 +58,15 @@ def encode_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str,
                     lengths.append(len(tokens) + 1)
                     size += sum(map(len, tokens)) + len(tokens) + 8
                     if size > block_bytes:
-                        yield close(ids, codes, lengths, words, number)
+                        yield from close(ids, codes, lengths, words, number)
                         ids, codes, lengths, words, size, number = [], [], [], {}, 0, number + 1
             if ids:
-                yield close(ids, codes, lengths, words, number)
+                yield from close(ids, codes, lengths, words, number)
 
         yield from to_batches(rows(), _BLOCK, 8_000_000)
 
     slim = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return scratch.table(slim.mapInArrow(run, "block long, words binary, blob binary"), "blocks")
+    return scratch.table(slim.mapInArrow(run, "block long, part string, blob binary"), "blocks", "part")
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -142,26 +143,23 @@ def _deal_grams(g: Gram, grams: list[Gram], n_parts: int, split: int) -> None:
     ask = np.flatnonzero(~last.solo[g.history])
     some = np.unique(g.history[ask])
     home = mix64(last.number[some]) % np.uint64(n_parts)
-    spread = np.minimum(1 + last.count[some] // split, n_parts).astype(np.uint64)
-    of = np.searchsorted(some, g.history[ask])
-    part = (home[of] + mix64(words.number[g.word[ask]] + np.uint64(1)) % spread[of]) % np.uint64(n_parts)
-    order = np.lexsort((words.number[g.word[ask]], last.number[g.history[ask]], part))
-    ask, part = ask[order], part[order]
-    times = spread.astype(np.int64)
-    who = np.repeat(np.arange(len(some)), times)
-    step = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
-    to = (home[who] + step.astype(np.uint64)) % np.uint64(n_parts)
+    spread = np.minimum(1 + last.count[some] // split, n_parts)
+    first = np.cumsum(spread) - spread
+    who = np.repeat(np.arange(len(some)), spread)
+    to = (home[who] + (np.arange(len(who)) - first[who]).astype(np.uint64)) % np.uint64(n_parts)
     order = np.lexsort((last.number[some[who]], to))
-    who, to = who[order], to[order]
-    # how many of the n-grams belong to each (partition, history)
-    rank = np.empty(len(some), np.int64)
-    rank[np.argsort(last.number[some])] = np.arange(len(some))
+    spot = np.empty(len(who), np.int64)
+    spot[order] = np.arange(len(who))
+    # the n-grams by (partition, history), then by word
     of = np.searchsorted(some, g.history[ask])
-    spots, mine = to.astype(np.int64) * (len(some) + 1) + rank[who], part.astype(np.int64) * (len(some) + 1) + rank[of]
-    ends = np.searchsorted(mine, spots, "right")
-    per = ends - np.searchsorted(mine, spots, "left")
-    bounds = np.arange(n_parts + 1, dtype=np.uint64)
-    g.asked = {"ask": ask, "of_part": np.searchsorted(part, bounds), "histories": some[who], "to_part": np.searchsorted(to, bounds), "per": per}
+    share = (mix64(words.number[g.word[ask]] + np.uint64(1)) % spread[of].astype(np.uint64)).astype(np.int64)
+    rank = np.empty(len(words.number), np.int64)
+    rank[np.argsort(words.number)] = np.arange(len(rank))
+    key = spot[first[of] + share] * len(rank) + rank[g.word[ask]]
+    by = np.argsort(key)
+    at, bounds = key[by] // max(len(rank), 1), np.arange(n_parts + 1, dtype=np.uint64)
+    who, to = who[order], to[order]
+    g.asked = {"ask": ask[by], "of_part": np.searchsorted(to[at], bounds), "histories": some[who], "to_part": np.searchsorted(to, bounds), "per": np.bincount(at, minlength=len(who)), "split": spread[who] > 1}
 
 
 def _sums(counts: np.ndarray, of: np.ndarray, mass: np.ndarray, n: int) -> list[np.ndarray]:
@@ -221,15 +219,18 @@ def _resolve(b: dict, replies: dict, model: Model | None, n_parts: int, split: i
         mass = np.zeros(n)
         mass[alone] = model.lower(order - 1, grams[-1].count[g.lower[alone]], low[g.history[alone]])
         sums = _sums(np.where(last.solo[g.history], g.mine, 0), g.history, mass, len(last.count))
-        a = g.asked
-        for r, (total, single, steps, *told) in replies.get(order, {}).items():
+        a, full, brief = g.asked, np.zeros(len(last.count), bool), np.zeros(len(last.count), bool)
+        for r, (total, single, steps, whole, rest, *told) in replies.get(order, {}).items():
             mine = a["ask"][a["of_part"][r] : a["of_part"][r + 1]]
             g.count[mine], g.solo[mine] = total, single
             g.number[mine[~single]] = np.cumsum(steps, dtype=np.uint64) * np.uint64(n_parts) + np.uint64(r)
             whose = a["histories"][a["to_part"][r] : a["to_part"][r + 1]]
+            whole, rest = (np.unpackbits(x, count=len(whose)).astype(bool) for x in (whole, rest))
+            brief[whose[~whole]], full[whose] = True, rest
             for s, t in zip(sums, told):
-                s[whose] += t
+                s[whose[whole]] += t
         g.total, g.alpha = model.weigh(order, sums, last.count)
+        g.total = np.where(brief, last.count + 0.5 * full, g.total)
         grams.append(g)
     return grams
 
@@ -263,11 +264,11 @@ def score_corpus(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_c
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_parts = max(shuffle_partitions(spark), int(size // partition_bytes) + 1)
     blocks = encode_blocks(docs, scratch, id_col, text_col, n_parts, block_bytes)
-    tasks = max(shuffle_partitions(spark), blocks.count())
-    slim = blocks.select("block", "blob")
+    slim = blocks.where("part = 'text'").select("block", "blob")
+    tasks = max(shuffle_partitions(spark), slim.count())
 
     def ask_words(row):
-        hashes, counts = unpack(row["words"])
+        hashes, counts = unpack(row["blob"])
         yield from questions(row["block"], *deal(hashes, n_parts), [hashes, counts])
 
     import xxhash
@@ -294,7 +295,8 @@ def score_corpus(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_c
         return [unpack(bytes(x[0])) for x in table.where("block = -1").select("blob").toLocalIterator()]
 
     told = lambda df, tag: df.where("block >= 0").select("block", "r", "blob", F.lit(tag).alias("tag"))
-    words = answer(ask(blocks.select("block", "words"), ask_words), scratch, "words", count_words, n_parts)
+    words = answer(ask(blocks.where("part = 'words'").select("block", "blob"), ask_words), scratch, "words", count_words, n_parts)
+    scratch.drop("blocks/part=words")
     known = stats(words)
     model = Model(int(sum(s[0] for s in known)), int(sum(s[1] for s in known)), sum((s[2] for s in known), np.zeros(_CUT + 3, np.int64)))
     replies = told(words, 1)
@@ -320,7 +322,7 @@ def score_corpus(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_c
                     continue
                 h = a["histories"][ours]
                 # sorted histories: differences are small; divisors are whole or half numbers
-                yield int(r), row["block"], pack([np.diff(last.number[h], prepend=np.uint64(0)), a["per"][ours].astype(np.uint32), np.rint(2 * low[h]).astype(np.int64), grams[0].number[g.word[mine]], g.mine[mine].astype(np.uint32), last.count[g.lower[mine]], alone if here else alone * 0])
+                yield int(r), row["block"], pack([np.diff(last.number[h], prepend=np.uint64(0)), a["per"][ours].astype(np.uint32), np.rint(2 * low[h]).astype(np.int64), grams[0].number[g.word[mine]], g.mine[mine].astype(np.uint32), last.count[g.lower[mine]], alone if here else alone * 0, np.packbits(a["split"][ours])])
 
         return run
 
@@ -347,7 +349,11 @@ def score_corpus(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_c
                 at += len(c[3])
                 whose = np.searchsorted(histories, np.cumsum(c[0], dtype=np.uint64))
                 shared = mine[~single[mine]] if k < order else mine[:0]
-                yield name, pack([total[mine].astype(np.uint32), single[mine] if k < order else np.ones(len(mine), bool), np.diff(shared, prepend=0).astype(np.uint64), *[s[whose] for s in sums]])
+                # a history's sums are for n-grams that were never seen; a block without such needs to know only if it is full
+                whole = np.unpackbits(c[7], count=len(whose)).astype(bool)
+                whole[np.repeat(np.arange(len(whose)), c[1])[total[mine] == 0]] = True
+                rest = sum(x[whose] for x in sums[:_CUT]) == 0
+                yield name, pack([total[mine].astype(np.uint32), single[mine] if k < order else np.ones(len(mine), bool), np.diff(shared, prepend=0).astype(np.uint64), np.packbits(whole), np.packbits(rest), *[x[whose[whole]] for x in sums]])
             yield -1, pack([alone + _classes(total)])
 
         return run
