@@ -62,3 +62,94 @@ def parse_position(s: Column) -> Column:
     good = s.rlike(r"^[^:]*:[1-9][0-9]*:[1-9][0-9]*$")
     part = lambda k: F.regexp_extract(s, r"^([^:]*):([0-9]+):([0-9]+)$", k)
     return F.when(good, F.struct(part(1).alias("path"), (part(2).cast("int") - 1).alias("line"), (part(3).cast("int") - 1).alias("column")))
+
+
+# ---- positions in lines
+
+
+def _boundaries(s: pd.Series) -> pd.Series:
+    import regex
+
+    return s.map(lambda t: None if t is None else [m.start() for m in regex.finditer(r"\X", t)])
+
+
+_PLAIN = r"[\p{M}\x{200D}\x{FE00}-\x{FE0F}\x{1F1E6}-\x{1F1FF}\x{1F3FB}-\x{1F3FF}\x{1100}-\x{11FF}]|\r\n"
+
+
+def grapheme_starts(s: Column) -> Column:
+    """The characters, counted from 0, at which an extended grapheme cluster starts."""
+    simple = ~s.rlike(_PLAIN)
+    return F.when(simple, F.when(F.length(s) > 0, F.sequence(F.lit(0), F.length(s) - 1)).otherwise(F.array().cast("array<int>"))).otherwise(F.pandas_udf(_boundaries, "array<int>")(F.when(~simple, s)))
+
+
+def all_chars(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, i, utf8, utf16, grapheme) of every character of a line and of its end: what comes before it. Inside of a cluster
+    the cluster counts as begun."""
+    rows = df.select(key, F.col(text).alias("t"), grapheme_starts(F.col(text)).alias("starts"))
+    rows = rows.select(key, "t", "starts", F.explode(F.sequence(F.lit(0), F.length("t"))).alias("i"))
+    before = F.substring(F.col("t"), F.lit(1), F.col("i"))
+    begun = F.size(F.filter("starts", lambda x: x < F.col("i")))
+    return rows.select(key, "i", utf8_len(before).alias("utf8"), utf16_len(before).alias("utf16"), begun.alias("grapheme"))
+
+
+def _bytes(s: Column, start: Column, length: Column | None = None) -> Column:
+    b = F.encode(s, "UTF-8")
+    return F.decode(F.substring(b, start + 1, F.greatest(length if length is not None else F.octet_length(s) - start, F.lit(0))), "UTF-8")
+
+
+def _positioned(content: Column, start: Column) -> Column:
+    bounds = F.struct(start.alias("start"), (start + F.octet_length(content)).alias("end"))
+    return F.struct(content.alias("content"), bounds.alias("utf8_bounds"), utf16_len(content).alias("utf16_length"), grapheme_len(content).alias("grapheme_length"))
+
+
+def from_range(s: Column, start: Column, end: Column) -> Column:
+    """The substring of the bytes [start, end), with its bounds and lengths."""
+    return _positioned(_bytes(s, start, end - start), start)
+
+
+def from_line(s: Column, start: Column) -> Column:
+    """The line that starts at a byte: up to the next newline, or the end."""
+    return _positioned(F.substring_index(_bytes(s, start), "\n", 1), start)
+
+
+def trimmed(start: Column, line: Column) -> Column:
+    """Byte bounds of a line, that starts at ``start``, without white space at its ends; of a blank line, its end."""
+    left = F.octet_length(line) - F.octet_length(F.regexp_replace(line, r"^[\t\n\x0C\r ]+", ""))
+    return F.struct((start + left).alias("start"), (start + left + F.octet_length(trim_ascii(line))).alias("end"))
+
+
+def at_column(line: Column, text: Column, column: Column) -> Column:
+    """The position of a byte column in a line: (line, utf8, utf16, grapheme)."""
+    before = _bytes(text, F.lit(0), column)
+    return F.struct(line.cast("int").alias("line"), utf8_len(before).alias("utf8"), utf16_len(before).alias("utf16"), grapheme_len(before).alias("grapheme"))
+
+
+def at_grapheme(line: Column, text: Column, grapheme: Column) -> Column:
+    """The position of a grapheme column in a line; beyond it, of its end."""
+    starts = grapheme_starts(text)
+    before = F.substring(text, F.lit(1), F.coalesce(F.get(starts, grapheme), F.length(text)))
+    return F.struct(line.cast("int").alias("line"), utf8_len(before).alias("utf8"), utf16_len(before).alias("utf16"), F.least(grapheme, F.size(starts)).cast("int").alias("grapheme"))
+
+
+def node_spans(places: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """``places`` (``key``, start_line, start_column, end_line, end_column; byte columns) with the span between the two positions,
+    and the line that holds its start."""
+    text = lines(sources, key, "text").select(key, "line", "line_text")
+    s, e = (text.select(F.col(key).alias(f"{p}_key"), F.col("line").alias(f"{p}_line"), F.col("line_text").alias(f"{p}_text")) for p in ("s", "e"))
+    rows = places.join(s, (F.col(key) == F.col("s_key")) & (F.col("start_line") == F.col("s_line"))).join(e, (F.col(key) == F.col("e_key")) & (F.col("end_line") == F.col("e_line")))
+    span = F.struct(at_column(F.col("start_line"), F.col("s_text"), F.col("start_column")).alias("start"), at_column(F.col("end_line"), F.col("e_text"), F.col("end_column")).alias("end"))
+    return rows.select(*places.columns, span.alias("span"), F.col("s_text").alias("containing_line"))
+
+
+def position_order(p: Column) -> Column:
+    return F.struct(p["line"].alias("line"), p["utf8"].alias("utf8"))
+
+
+def span_order(span: Column) -> Column:
+    """Spans by their start, then by their end."""
+    return F.struct(position_order(span["start"]).alias("start"), position_order(span["end"]).alias("end"))
+
+
+def first_line_columns(span: Column) -> Column:
+    """Grapheme columns of a span on its first line; no end, if it goes on to the next."""
+    return F.struct(span["start"]["grapheme"].alias("start"), F.when(span["start"]["line"] == span["end"]["line"], span["end"]["grapheme"]).alias("end"))

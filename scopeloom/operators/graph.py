@@ -24,6 +24,46 @@ def add_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(first.join(old.select(key), key, "left_anti"))
 
 
+def get_or_create(files: DataFrame, names: DataFrame) -> DataFrame:
+    """(file, existed) for every distinct name: rows that are there stay, the others are made."""
+    return names.select("file").distinct().join(files.select("file", F.lit(True).alias("existed")).distinct(), "file", "left").fillna({"existed": False})
+
+
+def symbols(nodes: DataFrame) -> DataFrame:
+    """The distinct symbols of a graph: an added symbol that is there already is the one that is there."""
+    return nodes.where(F.col("symbol").isNotNull()).select("symbol").distinct()
+
+
+def strings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The distinct strings that a graph says of its nodes and edges: syntax types, lines, names, keys and values."""
+    plain = nodes.select(F.explode(F.array_compact(F.array("syntax_type", "containing_line", "fully_qualified_name"))).alias("string"))
+    said = nodes.select("debug_info").unionByName(edges.select("debug_info")).select(F.explode("debug_info").alias("d"))
+    return plain.union(said.select(F.explode(F.array("d.key", "d.value")))).distinct()
+
+
+def files(nodes: DataFrame) -> DataFrame:
+    return nodes.where(F.col("file").isNotNull()).select("file").distinct()
+
+
+def get_file(nodes: DataFrame, name: str) -> DataFrame:
+    """One row if the graph has the file, else none."""
+    return files(nodes).where(F.col("file") == name)
+
+
+def nodes_for_file(nodes: DataFrame, file: str) -> DataFrame:
+    """The nodes of a file, without those of no file."""
+    return nodes.where(F.col("file") == file)
+
+
+def node_for_id(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes that (file, local_id) name."""
+    return nodes.join(ids.select("file", "local_id").distinct(), ["file", "local_id"], "left_semi")
+
+
+def outgoing_edges(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    return edges.join(sources.select(F.col("nid").alias("source")).distinct(), "source", "left_semi")
+
+
 def merge_graphs(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of both; an error if a file is in both."""
     clash = a[0].select("file").join(b[0].select("file"), "file").where("file is not null").select("file").limit(1).collect()
@@ -45,6 +85,34 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("sink").alias("nid")).agg(F.count("*").alias("n")).withColumn("degree", F.least("n", F.lit(2)).cast("int"))
 
 
+def add_degrees(*tables: DataFrame) -> DataFrame:
+    """Degrees of several graphs' parts as one: counts add up, and are saturated again."""
+    both = tables[0]
+    for t in tables[1:]:
+        both = both.unionByName(t)
+    return both.groupBy("nid").agg(F.sum("n").alias("n")).withColumn("degree", F.least("n", F.lit(2)).cast("int"))
+
+
+def path_degrees(paths: DataFrame) -> DataFrame:
+    """How many stored paths end at each node."""
+    return degrees(paths.select(F.col("end_nid").alias("sink")))
+
+
+def joining_degrees(frontier: DataFrame, known: DataFrame) -> DataFrame:
+    """Frontier rows with the degree of the node where they end: 0 none, 1 one, 2 several."""
+    d = known.select(F.col("nid").alias("d_nid"), "degree")
+    return frontier.join(d, F.col("end_nid") == F.col("d_nid"), "left").withColumn("degree", F.coalesce("degree", F.lit(0))).drop("d_nid")
+
+
+def mark_local(local: DataFrame, nodes: DataFrame) -> DataFrame:
+    return local.select("nid").union(nodes.select("nid")).distinct()
+
+
+def are_local(nodes: DataFrame, local: DataFrame) -> DataFrame:
+    """``nodes`` with a flag for those among ``local``."""
+    return nodes.join(local.select("nid", F.lit(True).alias("local")).distinct(), "nid", "left").withColumn("local", F.coalesce("local", F.lit(False)))
+
+
 def close_filter(nodes: DataFrame, edges: DataFrame, paths: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What is left of a graph and its paths when only ``files`` are shown: nodes of these files and those of none, edges with
     both ends, paths all of whose steps are shown edges."""
@@ -87,10 +155,13 @@ def shadows(mine: str, other: str) -> Column:
 
 
 def drop_shadowed(paths: DataFrame, key: str = "start_nid") -> DataFrame:
-    """Paths that no other path of the same reference shadows: an anti-join on the reference.
+    """Paths that no other path of the same reference shadows.
 
-    Paths that take different first edges are compared only within the reference; the join key keeps the predicate's pairs to
-    one reference's answers.
+    A path is shadowed if at some edge another one, whose sources agree so far, has a higher precedence. So paths meet by
+    reference and prefix of sources, and each edge's precedence is compared with the highest there: no pair of paths is made.
     """
-    other = paths.select(F.col(key).alias("o_key"), F.col("edges").alias("o_edges"))
-    return paths.join(other, (F.col(key) == F.col("o_key")) & shadows("o_edges", "edges"), "left_anti")
+    steps = paths.select(F.col(key).alias("s_key"), F.col("edges").alias("s_edges"), F.posexplode("edges").alias("i", "e"))
+    steps = steps.select("s_key", "s_edges", F.expr("transform(slice(s_edges, 1, i + 1), x -> x.source)").alias("prefix"), F.col("e.precedence").alias("precedence"))
+    best = steps.groupBy("s_key", "prefix").agg(F.max("precedence").alias("best"), F.min("precedence").alias("least")).where("best > least").drop("least")
+    lost = steps.join(best, ["s_key", "prefix"]).where("precedence < best").select("s_key", "s_edges").distinct()
+    return paths.join(lost, (F.col(key) == F.col("s_key")) & (F.col("edges") == F.col("s_edges")), "left_anti")

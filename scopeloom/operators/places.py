@@ -4,15 +4,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import positions as pos
-from .assertions import compare
+
+#: Lines of a file that are looked up together.
+BLOCK_LINES = 64
+
+
+def compare(expected: DataFrame, actual: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Per key: values missing from, and unexpected in, ``actual``."""
+    e, a = expected.select(*key, value).distinct(), actual.select(*key, value).distinct()
+    missing = e.join(a, [*key, value], "left_anti").withColumn("what", F.lit("missing"))
+    return missing.unionByName(a.join(e, [*key, value], "left_anti").withColumn("what", F.lit("unexpected")))
 
 
 def nodes_at(nodes: DataFrame, places: DataFrame, inclusive: bool = False) -> DataFrame:
-    """Nodes whose span covers a place (place, file, line, column), by byte column; ``inclusive``: also one at the span's end."""
-    p = places.select("place", F.col("file").alias("p_file"), F.col("line").alias("p_line"), F.col("column").alias("p_column"))
+    """Nodes whose span covers a place (place, file, line, column), by byte column; ``inclusive``: also one at the span's end.
+
+    Nodes and places meet by file and block of lines (a span has a row for each that it touches), so that a place is compared
+    with the nodes around it and not with all of its file."""
+    p = places.select("place", F.col("file").alias("p_file"), F.col("line").alias("p_line"), F.col("column").alias("p_column")).withColumn("p_block", F.floor(F.col("p_line") / BLOCK_LINES))
+    blocks = F.sequence(F.floor(F.col("span.start.line") / BLOCK_LINES), F.floor(F.col("span.end.line") / BLOCK_LINES))
     ends = [F.col(f"span.{end}.{part}") for end in ("start", "end") for part in ("line", "utf8")]
     test = pos.within if inclusive else pos.contains
-    return nodes.join(p, (F.col("file") == F.col("p_file")) & test(*ends, F.col("p_line"), F.col("p_column"))).drop("p_file", "p_line", "p_column")
+    rows = nodes.where("span is not null").withColumn("n_block", F.explode(blocks))
+    return rows.join(p, (F.col("file") == F.col("p_file")) & (F.col("n_block") == F.col("p_block")) & test(*ends, F.col("p_line"), F.col("p_column"))).drop("p_file", "p_line", "p_column", "p_block", "n_block")
 
 
 def symbols_at(nodes: DataFrame, places: DataFrame, flag: str) -> DataFrame:

@@ -5,9 +5,9 @@ failed, what was seen and what goes round in circles, and writes the rest: linea
 shared folder, which survives the loss of an executor.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import stacks
@@ -25,15 +25,37 @@ class Cancelled(Exception):
     """A cancellation flag was raised between two phases."""
 
 
+@dataclass
+class Stats:
+    """What a search did: per phase the rows extended (``frontier``), the continuations that joined (``candidates``) and those
+    kept (``accepted``). The difference of the latter two are paths similar to earlier ones."""
+
+    initial: int = 0
+    frontier: list[int] = field(default_factory=list)
+    candidates: list[int] = field(default_factory=list)
+    accepted: list[int] = field(default_factory=list)
+
+    def rows(self) -> list[tuple[int, int, int, int, int]]:
+        return [(k, f, c, a, c - a) for k, (f, c, a) in enumerate(zip(self.frontier, self.candidates, self.accepted), 1)]
+
+    def table(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.rows(), "phase int, frontier bigint, candidates bigint, accepted bigint, similar bigint")
+
+
 @dataclass
 class Config:
-    """``detect_similar``: leave out a path that equals an earlier one of the same search in all but its edges. ``check``: called
-    once a phase; raises ``Cancelled``. ``on_phase``: called with the phase's number and its new paths."""
+    """``detect_similar``: leave out a path that equals an earlier one of the same search in all but its edges;
+    ``only_at_joins``: look for such only where more than one edge or path ends. ``check``: called once a phase; raises
+    ``Cancelled``. ``on_phase``: called with the phase's number and its new paths. ``max_work``: about how many rows a phase
+    extends; the others wait for later phases, and the answers stay the same. ``stats``: filled while searching."""
 
     detect_similar: bool = True
     max_phases: int = MAX_PHASES
     check: object = None
     on_phase: object = None
+    only_at_joins: bool = False
+    max_work: int | None = None
+    stats: Stats | None = None
 
 
 _NAMES = "transform({}.symbols, x -> concat(x.symbol, if(x.scopes is null, '', '/')))"
@@ -57,41 +79,71 @@ def _circles(ground: bool) -> Column:
     return F.expr(f"exists(slice(trail, 1, size(trail) - 1), t -> t.node = end_nid {longer} and {taken} = {left})")
 
 
-def _unseen(new: DataFrame, seen: DataFrame | None, key: list[str]) -> DataFrame:
-    """Rows that equal no earlier one; of equal rows in this phase, those that no other shadows, the first of them."""
-    state = F.xxhash64(*key, "end_nid", *_STATE), F.xxhash64(F.lit(1), *key, "end_nid", *_STATE)
-    new = new.withColumns({"h1": state[0], "h2": state[1]})
+def _unseen(new: DataFrame, seen: DataFrame | None, key: list[str], joins: DataFrame | None) -> DataFrame:
+    """Rows that equal no earlier one; of equal rows in this phase, those that no other shadows, the first of them. With
+    ``joins``, rows that end elsewhere are told apart by their edges too, so none of them is left out."""
+    state = [*key, "end_nid", *_STATE]
+    if joins is not None:
+        new = new.join(joins, new.end_nid == F.col("j_nid"), "left").withColumn("apart", F.when(F.col("j_nid").isNull(), F.col("edges"))).drop("j_nid")
+        state = [*state, "apart"]
+    new = new.withColumns({"h1": F.xxhash64(*state), "h2": F.xxhash64(F.lit(1), *state)}).drop("apart")
     if seen is not None:
         new = new.join(seen, ["h1", "h2"], "left_anti")
     best = new.groupBy("h1", "h2").agg(F.max_by(F.struct(*[c for c in new.columns if c not in ("h1", "h2")]), F.struct(F.transform("edges", lambda e: e["precedence"]), F.transform("edges", lambda e: e["source"]))).alias("r"))
     return best.select("h1", "h2", "r.*")
 
 
-def _search(seeds: DataFrame, extend, stop, report, key: list[str], ground: bool, config: Config, scratch: Scratch) -> DataFrame:
+def _counted(df: DataFrame, write) -> tuple[DataFrame, int]:
+    """What ``write`` makes of ``df``, and its number of rows, counted as they pass."""
+    seen = Observation()
+    made = write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return made, seen.get["n"]
+
+
+def _search(seeds: DataFrame, extend, stop, report, key: list[str], ground: bool, config: Config, scratch: Scratch, joins: DataFrame | None = None) -> DataFrame:
     """Rows that ``report`` holds for, from all phases. ``extend`` maps a frontier to its continuations, ``stop`` says which
-    rows aren't continued (seeds always are)."""
-    frontier = scratch.table(seeds.withColumn("trail", F.expr(_EMPTY)).withColumn("trail", F.expr(_visit("t.low"))), "phase-0")
-    seen, out, phase = None, [], 0
+    rows aren't continued (seeds always are). One table a phase is written; hashes of the paths seen are appended to one."""
+    seeds = seeds.withColumn("trail", F.expr(_EMPTY)).withColumn("trail", F.expr(_visit("t.low")))
+    frontier, size = _counted(seeds, lambda df: scratch.table(df, "phase-0"))
+    seen, out, phase, waiting = None, [], 0, []
+    stats = config.stats or Stats()
+    stats.initial = size
     while True:
         if config.check is not None:
             config.check()
         phase += 1
         if phase > config.max_phases:
             raise RuntimeError(f"the search did not end in {config.max_phases} phases")
-        new = extend(frontier)
+        if config.max_work and size > config.max_work:
+            turns = -(-size // config.max_work)
+            turn = F.pmod(F.xxhash64(F.lit(phase), *key, "end_nid", "edges"), F.lit(turns))
+            waiting += [(frontier.where(turn == k), size // turns) for k in range(1, turns)]
+            frontier, size = frontier.where(turn == 0), size // turns
+        new, met = extend(frontier), Observation()
+        if config.stats is not None:
+            new = new.observe(met, F.count(F.lit(1)).alias("n"))
         if config.detect_similar:
-            new = _unseen(new, seen, key)
-        new = scratch.table(new.withColumn("trail", F.expr(_visit("low_mark"))).drop("low_mark"), f"phase-{phase}")
-        if new.isEmpty():
+            new = _unseen(new, seen, key, joins if config.only_at_joins else None)
+        new = new.withColumn("trail", F.expr(_visit("low_mark"))).drop("low_mark")
+        new, n = _counted(new, lambda df: scratch.table(df, f"phase-{phase}"))
+        stats.frontier.append(size)
+        stats.candidates.append(met.get["n"] if config.stats is not None else n)
+        stats.accepted.append(n)
+        if n:
+            if config.on_phase is not None:
+                config.on_phase(phase, new)
+            out.append(new.where(report))
+            if config.detect_similar:
+                seen = scratch.append(new.select("h1", "h2"), "seen")
+                new = new.drop("h1", "h2")
+            frontier, size = new.where(~stop & ~_circles(ground)), n
+        elif waiting:
+            frontier, size = waiting.pop()
+        else:
             break
-        if config.on_phase is not None:
-            config.on_phase(phase, new)
-        out.append(new.where(report))
-        if config.detect_similar:
-            now = new.select("h1", "h2")
-            seen = now if seen is None else seen.union(now)  # of written tables
-            new = new.drop("h1", "h2")
-        frontier = new.where(~stop & ~_circles(ground))
+        if n and waiting:  # a phase's own continuations wait their turn
+            waiting.insert(0, (frontier, size))
+            frontier, size = waiting.pop()
     if not out:
         return frontier.where("false").drop("trail")
     found = out[0]
@@ -107,10 +159,20 @@ def _targets(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("nid").alias("n_nid"), F.col("file").alias("n_file"), *[F.col(c).alias(f"n_{c}") for c in _NODE])
 
 
-def _append_edges(frontier: DataFrame, steps: DataFrame, keep: list[str]) -> DataFrame:
-    """Each row followed by each edge that leaves its end: the sink's effect, the edge on the list, jumps resolved."""
+def _append_edges(frontier: DataFrame, steps: DataFrame, keep: list[str], same: tuple[str, str] | None = None) -> DataFrame:
+    """Each row followed by each edge that leaves its end: the sink's effect, the edge on the list, jumps resolved.
+
+    A pop fits only the symbol on top of the stack, so rows meet edges to pops by that symbol: at the root, which all files
+    share, a row meets the edges of its own symbol and no others. ``same``: columns of row and edge that must agree too."""
     made = stacks.effect()
-    rows = frontier.join(steps, frontier.end_nid == F.col("e_source")).where(made["ok"])
+    top = F.get("sym_post.symbols", F.lit(0))["symbol"]
+    asks = F.when(top.isNotNull(), F.concat(F.lit("="), top)).when(F.col("sym_post.variable").isNotNull(), F.lit("any"))
+    rows = frontier.withColumn("f_want", F.explode(F.array_compact(F.array(F.lit("other"), asks))))
+    offers = F.when(F.startswith("n_kind", F.lit("pop")), F.array(F.lit("any"), F.concat(F.lit("="), F.col("n_symbol")))).otherwise(F.array(F.lit("other")))
+    on = (F.col("end_nid") == F.col("e_source")) & (F.col("f_want") == F.col("e_offer"))
+    if same:
+        on &= F.col(same[0]) == F.col(same[1])
+    rows = rows.join(steps.withColumn("e_offer", F.explode(offers)), on).where(made["ok"])
     rows = rows.select(*keep, "start_nid", "trail", F.col("n_nid").alias("end_nid"), F.array_append("edges", F.struct(F.col("e_source").alias("source"), F.col("e_precedence").alias("precedence"))).alias("edges"), *[made[c].alias(c) for c in _STATE], F.col("n_kind").alias("kind"))
     low = F.expr("size(sym_post.symbols) - size(sym_pre.symbols) - if(kind like 'push%', 1, 0)")
     return stacks.resolve_jump(rows.withColumn("low_mark", low)).drop("kind")
@@ -139,14 +201,18 @@ def partial_paths(nodes: DataFrame, edges: DataFrame, config: Config | None = No
     ends = inside.where(endpoint).select(F.col("nid").alias("x_nid"))
 
     def extend(frontier):
-        out = _append_edges(frontier.withColumnRenamed("file", "f_file"), steps.withColumn("ok_file", F.col("e_file")), ["f_file", "ok_file"])
-        out = out.where("f_file = ok_file").drop("ok_file").withColumnRenamed("f_file", "file")
+        out = _append_edges(frontier.withColumnRenamed("file", "f_file"), steps, ["f_file"], ("f_file", "e_file")).withColumnRenamed("f_file", "file")
         return out.join(ends, out.end_nid == F.col("x_nid"), "left").withColumn("done", F.col("x_nid").isNotNull() | (F.col("end_nid") == JUMP)).drop("x_nid")
 
-    found = _search(seeds, extend, F.col("done"), F.col("done"), ["start_nid", "file"], False, config, scratch)
+    found = _search(seeds, extend, F.col("done"), F.col("done"), ["start_nid", "file"], False, config, scratch, _join_nodes(edges, "sink"))
     return found.drop("done") if "done" in found.columns else found
 
 
+def _join_nodes(arrivals: DataFrame, end: str) -> DataFrame:
+    """Nodes at which more than one edge or path arrives: only there can two paths become similar."""
+    return arrivals.groupBy(F.col(end).alias("j_nid")).agg(F.count("*").alias("n")).where("n > 1").select("j_nid")
+
+
 def _references(nodes: DataFrame, only: DataFrame | None) -> DataFrame:
     rows = nodes.where("is_reference").select("nid", "file", *_NODE)
     if only is not None:
@@ -167,7 +233,7 @@ def resolve_edges(nodes: DataFrame, edges: DataFrame, references: DataFrame | No
     def extend(frontier):
         return _complete(_append_edges(frontier, steps, ["file"]), definitions)
 
-    found = _search(_references(nodes, references), extend, F.lit(False), F.expr("at_definition"), ["start_nid"], True, config, scratch)
+    found = _search(_references(nodes, references), extend, F.lit(False), F.expr("at_definition"), ["start_nid"], True, config, scratch, _join_nodes(edges, "sink"))
     return found.drop("at_definition") if "at_definition" in found.columns else found
 
 
@@ -180,5 +246,5 @@ def resolve_paths(nodes: DataFrame, paths: DataFrame, references: DataFrame | No
     def extend(frontier):
         return _complete(join_paths(frontier, table), definitions)
 
-    found = _search(_references(nodes, references), extend, F.lit(False), F.expr("at_definition"), ["start_nid"], True, config, scratch)
+    found = _search(_references(nodes, references), extend, F.lit(False), F.expr("at_definition"), ["start_nid"], True, config, scratch, _join_nodes(paths, "end_nid"))
     return found.drop("at_definition") if "at_definition" in found.columns else found

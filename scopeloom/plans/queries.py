@@ -154,9 +154,13 @@ def root_prefix_lookup(spark, sf_dir):
     return _root_pairs(spark, sf_dir, None, 1)
 
 
-@query(_WEB + "SELECT page_id, array_to_string(d.s, '/') AS stored FROM u, d WHERE u.s = d.s")
+@query(_WEB + "SELECT page_id, array_to_string(d.s, '/') AS stored FROM u, d WHERE u.s[1:2] = d.s")
 def root_exact_lookup(spark, sf_dir):
-    return _root_pairs(spark, sf_dir, None, None)
+    """Queries of a host and a folder find what is stored under just these."""
+    q, d = _web(spark, sf_dir)
+    stored = d.select(F.lit(ROOT).alias("start_nid"), ad.stack_of(F.col("s")).alias("sym_pre"))
+    found = lookup.root_candidates(q.select("page_id", ad.stack_of(F.slice("s", 1, 2)).alias("sym_post")), stored)
+    return found.select("page_id", F.array_join(F.expr("transform(r_sym_pre.symbols, x -> x.symbol)"), "/").alias("stored"))
 
 
 @query(_WEB + "SELECT page_id, array_to_string(d.s, '/') AS stored FROM u, d WHERE d.s = u.s[1:1] OR d.s[1:1] = u.s[1:1]")
@@ -270,17 +274,15 @@ def quantiles(spark, sf_dir):
 
 @query("SELECT o_custkey AS file, count(DISTINCT o_orderkey) AS nodes, count(l_orderkey) AS edges FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def stats_per_file(spark, sf_dir):
-    o = ad.table(spark, sf_dir, "orders")
-    n = o.groupBy(F.col("o_custkey").alias("file")).agg(F.count("*").alias("nodes"))
-    li = ad.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("m"))
-    e = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy(F.col("o_custkey").alias("file")).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("edges"))
-    return n.join(e, "file")
+    o = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), "o_orderkey")
+    li = ad.table(spark, sf_dir, "lineitem").select("l_orderkey")
+    return stats.per_file(o, o.join(li, F.col("o_orderkey") == F.col("l_orderkey")))
 
 
-@query("SELECT DISTINCT lower(substr(c_name, 1, 8)) AS s FROM customer UNION SELECT lower(substr(s_name, 1, 8)) FROM supplier")
+@query("SELECT DISTINCT lower(substr(c_name, 1, 8)) AS symbol FROM customer UNION SELECT lower(substr(s_name, 1, 8)) FROM supplier")
 def symbols(spark, sf_dir):
-    c = ad.table(spark, sf_dir, "customer").select(F.lower(F.substring("c_name", 1, 8)).alias("s"))
-    return c.union(ad.table(spark, sf_dir, "supplier").select(F.lower(F.substring("s_name", 1, 8)))).distinct()
+    names = [ad.table(spark, sf_dir, t).select(F.lower(F.substring(f"{t[0]}_name", 1, 8)).alias("symbol")) for t in ("customer", "supplier")]
+    return graph.symbols(names[0].union(names[1]))
 
 
 # ---- positions and paths
@@ -418,7 +420,7 @@ def fragment_split(spark, sf_dir):
 @query("SELECT conv_id, turn, max(CASE WHEN turn % 2 = 0 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS target_line, [turn::VARCHAR, role] AS values FROM (SELECT conv_id, turn, role FROM conversations) QUALIFY turn % 2 = 1")
 def assertion_parse(spark, sf_dir):
     c = ad.table(spark, sf_dir, "conversations")
-    t = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("  # ^ defined: "), F.col("turn"), F.lit(", "), F.col("role"))).otherwise("x")
+    t = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("  # ^ defines: "), F.col("turn"), F.lit(", "), F.col("role"))).otherwise("x")
     rows = assertions.assertions(c.select("conv_id", F.col("turn").alias("line"), t.alias("line_text")), "conv_id")
     return rows.select("conv_id", F.col("line").alias("turn"), "target_line", "values")
 
@@ -433,11 +435,18 @@ def manifest_deps(spark, sf_dir):
     return exchange.dependencies(m, "k", "c").select("k", "name", "dependency")
 
 
-@query("SELECT r_name AS file, 0::BIGINT AS local_id, r_name AS symbol FROM region UNION ALL SELECT r_name, 1, '.' FROM region UNION ALL SELECT r_name, n_nationkey + 10, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+_SUPPLIED = "SELECT 'supplier/' || n_name AS file, s_suppkey * 3 AS k, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+
+
+@query(f"""WITH s AS ({_SUPPLIED}), p AS (SELECT n_nationkey + 10 AS k, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT r_name AS file, 0::BIGINT AS local_id, r_name AS symbol FROM region UNION ALL SELECT r_name, 1, '.' FROM region UNION ALL SELECT r_name, k, n_name FROM p
+UNION ALL SELECT file, k, n_name FROM s UNION ALL SELECT file, k + 1, '.' FROM s UNION ALL SELECT file, k + 2, r_name FROM s
+UNION ALL SELECT '[root]', NULL, r_name || '(0)' FROM region UNION ALL SELECT r_name || '(0)', NULL, r_name || '(1)' FROM region UNION ALL SELECT r_name || '(1)', NULL, r_name || '(' || k || ')' FROM p
+UNION ALL SELECT file || '(' || k || ')', NULL, file || '(' || k + 1 || ')' FROM s UNION ALL SELECT file || '(' || k + 1 || ')', NULL, file || '(' || k + 2 || ')' FROM s UNION ALL SELECT file || '(' || k + 2 || ')', NULL, '[root]' FROM s""")
 def graph_json_roundtrip(spark, sf_dir):
-    nodes, edges = ad.geo(spark, sf_dir, "supplier")
-    back, _ = exchange.graph_from_json(exchange.graph_to_json(nodes, edges), NODES_DDL, EDGES_DDL)
-    return back.where("file not like 'supplier/%'").select("file", F.col("local_id").cast("bigint").alias("local_id"), "symbol")
+    back, edges = exchange.graph_from_json(exchange.graph_to_json(*ad.geo(spark, sf_dir, "supplier")), NODES_DDL, EDGES_DDL)
+    nodes = back.where("file is not null").select("file", F.col("local_id").cast("bigint").alias("local_id"), "symbol")
+    return nodes.union(edges.select("source", F.lit(None).cast("bigint"), "sink"))
 
 
 @query("SELECT user_id AS k, max(event_id) AS version, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
@@ -445,6 +454,6 @@ def stream_upsert(spark, sf_dir):
     s = Scratch(spark, "stream")
     source = ad.table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("version"), "event_type")
     s.table(source.repartition(4, "version"), "in")
-    target = upsert.Upsert(spark, "k", ["version"], "k bigint, version bigint, event_type string")
+    target = upsert.Upsert(spark, f"{s.base}/table", "k", ["version"], "k bigint, version bigint, event_type string")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(f"{s.base}/in")
     return upsert.run(stream, target, f"{s.base}/offsets")

@@ -60,9 +60,9 @@ def assert_refers(spark, sf_dir):
 
 @query("WITH d AS (SELECT l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT v, sum(n) OVER (ORDER BY v) AS cum FROM d), t AS (SELECT max(cum)::BIGINT AS total FROM c), q AS (SELECT k, min(v) AS value FROM range(5) AS r(k), t, c WHERE cum >= greatest(1, round(total * k / 4.0)) GROUP BY k) SELECT max(value) FILTER (k = 0) AS least, max(value) FILTER (k = 1) AS p25, max(value) FILTER (k = 2) AS p50, max(value) FILTER (k = 3) AS p75, max(value) FILTER (k = 4) AS most, (SELECT total FROM t) AS n FROM q")
 def quartile_row(spark, sf_dir):
-    d = stats.distribution(ad.table(spark, sf_dir, "lineitem"), "l_quantity")
-    row = stats.quantiles(d, 4).agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(name) for k, name in enumerate(("least", "p25", "p50", "p75", "most"))])
-    return row.join(d.agg(F.sum("n").alias("n")))
+    d = stats.distribution(ad.table(spark, sf_dir, "lineitem"), "l_quantity").withColumn("of", F.lit("quantity"))
+    names = dict(zip(("min", "q1", "median", "q3", "max"), ("least", "p25", "p50", "p75", "most")))
+    return stats.quartiles_row(d, "of").select(*[F.col(a).alias(b) for a, b in names.items()], F.col("total").alias("n"))
 
 
 @query("SELECT page_id FROM pages WHERE string_split(url, '/') >= string_split((SELECT url FROM pages WHERE url IS NOT NULL ORDER BY page_id LIMIT 1), '/')")

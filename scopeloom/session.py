@@ -55,6 +55,12 @@ class Scratch:
             self.spark.conf.unset(_CLEAN_UP) if before is None else self.spark.conf.set(_CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def append(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` added to a table, and the whole of it."""
+        path = f"{self.base}/{name}"
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def drop(self, name: str = "") -> None:
         """Frees one table, or all. At the interpreter's end the session may be gone; the folder is scratch space then."""
         if self.spark.sparkContext._jsc is None or self.spark.sparkContext._jsc.sc().isStopped():

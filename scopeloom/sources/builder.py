@@ -3,8 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.adapters import node_id
-from ..schema import KINDS
+from ..functions import positions as pos
+from ..plans.adapters import node_id, with_singletons
+from ..schema import JUMP, KINDS, NODES_DDL, ROOT, SPAN
 
 MADE = [k for k in KINDS if k not in ("root", "jump_to")]
 #: Attributes with an effect, by kind of node; those that name the place in the source fit every kind.
@@ -64,3 +65,61 @@ def unexpected_attributes(rows: DataFrame) -> DataFrame:
     known = F.create_map(*[x for k, v in EFFECT.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in [*PLACE, *v]]))])
     names = F.filter(F.map_keys("attributes"), lambda k: ~F.startswith(k, F.lit("debug_")))
     return rows.select("file", "local_id", F.explode(F.array_except(names, F.try_element_at(known, kind))).alias("attribute"))
+
+
+# ---- where nodes come from
+
+_PLACE = r"^(\d+):(\d+)-(\d+):(\d+)$"
+
+
+def _places(rows: DataFrame, attribute: str) -> DataFrame:
+    """(file, local_id, place) of rows whose attribute names a piece of the source, ``line:column-line:column`` in bytes from 0.
+    ``#null`` and no attribute mean none; anything else is an error."""
+    text = _attribute(attribute)
+    said = rows.where(text.isNotNull() & (text != "#null"))
+    part = lambda k: F.regexp_extract(text, _PLACE, k).cast("int")
+    good = F.when(text.rlike(_PLACE), part(1)).otherwise(F.raise_error(F.concat(F.lit("not a place in the source: "), text)).cast("int"))
+    return said.select("file", "local_id", "attributes", good.alias("start_line"), part(2).alias("start_column"), part(3).alias("end_line"), part(4).alias("end_column"))
+
+
+def source_info(nodes: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``nodes`` with span, containing line and, for definitions, the span of what they define, from the attributes ``source_node``
+    and ``definiens_node`` of ``rows`` and the texts of ``sources`` (file, text). ``empty_source_span`` ends a span where it
+    starts."""
+    own = pos.node_spans(_places(rows, "source_node"), sources, "file")
+    end = F.when(_flag("empty_source_span"), F.col("span.start")).otherwise(F.col("span.end"))
+    own = own.select("file", "local_id", F.struct(F.col("span.start").alias("start"), end.alias("end")).cast(SPAN).alias("new_span"), F.col("containing_line").alias("new_line"))
+    body = pos.node_spans(_places(rows, "definiens_node"), sources, "file").select("file", "local_id", F.col("span").cast(SPAN).alias("new_body"))
+    out = nodes
+    for c, kind in (("span", SPAN), ("containing_line", "string"), ("definiens_span", SPAN)):
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast(kind))
+    out = out.join(own, ["file", "local_id"], "left").join(body, ["file", "local_id"], "left")
+    new = {"span": F.coalesce("new_span", "span"), "containing_line": F.coalesce("new_line", "containing_line"), "definiens_span": F.when(F.col("is_definition"), F.coalesce("new_body", "definiens_span"))}
+    return out.withColumns(new).drop("new_span", "new_line", "new_body")
+
+
+def inject(rows: DataFrame, injected: DataFrame) -> DataFrame:
+    """Edges' ends by name: ``rows`` (file, source, sink, attributes) name nodes by local id or by an injected name (file, name,
+    nid); the root and the jump node are injected everywhere, as ROOT_NODE and JUMP_TO_SCOPE_NODE."""
+    fixed = rows.select("file").distinct().withColumn("x", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("nid")) for n, i in (("ROOT_NODE", ROOT), ("JUMP_TO_SCOPE_NODE", JUMP))]))).select("file", "x.*")
+    names = injected.select("file", "name", "nid").unionByName(fixed)
+    out = rows
+    for end in ("source", "sink"):
+        known = names.select("file", F.col("name").alias(end), F.col("nid").alias(f"{end}_nid"))
+        out = out.join(known, ["file", end], "left").withColumn(end, F.coalesce(f"{end}_nid", node_id(F.col("file"), F.col(end)))).drop(f"{end}_nid")
+    return out
+
+
+def build(nodes: DataFrame, edges: DataFrame, sources: DataFrame, injected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A graph from what a front-end states: nodes (file, local_id, attributes), edges (file, source, sink, attributes), texts
+    (file, text). Attached scopes that aren't exported are an error."""
+    spark = nodes.sparkSession
+    made = source_info(nodes_from_attributes(nodes), nodes, sources)
+    schema = spark.createDataFrame([], NODES_DDL).schema
+    made = made.select(*[(F.col(f.name) if f.name in made.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    wrong = wrong_scopes(made).limit(1).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0]['nid']}: {wrong[0]['scope']} is no exported scope")
+    injected = injected if injected is not None else spark.createDataFrame([], "file string, name string, nid string")
+    return with_singletons(spark, made), edges_from_attributes(inject(edges, injected))

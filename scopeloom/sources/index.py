@@ -1,13 +1,13 @@
-"""The file index: one row per file with its tag, summaries split into file and root paths, replaced file by file."""
+"""The file index: per file its tag or error, its graph and its summary, replaced file by file, and read for searches."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import path_descendant_of
-from ..operators.lookup import storage_key
-from ..schema import PATHS_DDL, ROOT
-
-VERSION = 1
+from ..operators.lookup import prefix_keys, storage_key
+from ..schema import EDGES_DDL, NODES_DDL, PATHS_DDL, ROOT, singletons
+from ..session import Scratch
+from .versions import Versions
 
 
 def status(requests: DataFrame, graphs: DataFrame) -> DataFrame:
@@ -42,45 +42,105 @@ def listing(graphs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 class FileIndex:
-    """The index as Parquet tables in versioned folders: readers see one version; a commit is the rename of a small file."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def current(self) -> int:
-        found = [f.getPath().getName() for f in self._fs.listStatus(self._path(""))] if self._fs.exists(self._path("")) else []
-        done = [int(x[8:]) for x in found if x.startswith("_commit-")]
-        return max(done, default=0)
-
-    def read(self, table: str) -> DataFrame:
-        schema = "file string, tag string, error string" if table == "graphs" else PATHS_DDL + ", root_key string"
-        v = self.current()
-        return self.spark.createDataFrame([], schema) if v == 0 else self.spark.read.schema(schema).parquet(f"{self.path}/v{v}/{table}")
-
-    def _write(self, graphs: DataFrame, paths: DataFrame) -> None:
-        v = self.current() + 1
-        graphs.write.mode("overwrite").parquet(f"{self.path}/v{v}/graphs")
-        paths.repartition("start_nid").write.mode("overwrite").parquet(f"{self.path}/v{v}/paths")
-        self._fs.create(self._path(f"_commit-{v}"), False).close()
-
-    def store(self, graphs: DataFrame, paths: DataFrame) -> None:
-        """Replace the files in ``graphs`` (file, tag, error) and their partial paths. A path must start in its file or at the
-        root."""
-        keyed = paths.withColumn("root_key", F.when(F.col("start_nid") == ROOT, storage_key("sym_pre")))
-        wrong = keyed.where((F.col("start_nid") != ROOT) & ~F.startswith("start_nid", F.concat("file", F.lit("("))))
+    """The index in a folder, as tables by file: ``graphs`` (tag, error), ``nodes``, ``edges``, ``paths``, and ``roots``, the
+    summaries' paths that start at the root, by the symbols that they ask for."""
+
+    TABLES = {"graphs": "file string, tag string, error string", "nodes": NODES_DDL, "edges": "file string, " + EDGES_DDL, "paths": PATHS_DDL, "roots": PATHS_DDL + ", root_key string"}
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.versions = spark, Versions(spark, path, self.TABLES, "file", buckets)
+
+    @classmethod
+    def temporary(cls, spark: SparkSession, buckets: int = 8) -> "FileIndex":
+        """An index that goes with the session."""
+        return cls(spark, Scratch(spark, "index").base, buckets)
+
+    # ---- writing
+
+    def store(self, graphs: DataFrame, nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> None:
+        """Replace the files in ``graphs`` (file, tag, error) with their nodes, edges and partial paths; files with an error have
+        none of these. An edge belongs to the file of its source or, from the root, of its sink. A path must start in its file
+        or at the root; root paths that ask for nothing are never found and not kept."""
+        fine = graphs.where("error is null").select("file")
+        wrong = paths.where((F.col("start_nid") != ROOT) & ~F.startswith("start_nid", F.concat("file", F.lit("("))))
         if not wrong.isEmpty():
             raise ValueError("a partial path starts outside of its file")
-        files = graphs.select("file").distinct()
-        old = self.read("paths").join(files, "file", "left_anti")
-        self._write(replace(self.read("graphs"), graphs), old.unionByName(keyed.join(files, "file", "left_semi")))
+        file_of = lambda c: F.regexp_extract(c, r"^(.*)\(\d+\)$", 1)
+        owned = edges.withColumn("file", F.coalesce(F.nullif(file_of("source"), F.lit("")), file_of("sink")))
+        of = lambda df: df.join(fine, "file", "left_semi")
+        at_root = F.col("start_nid") == ROOT
+        roots = paths.where(at_root & (F.size("sym_pre.symbols") > 0)).withColumn("root_key", storage_key("sym_pre"))
+        self.versions.replace(graphs, {"graphs": graphs, "nodes": of(nodes), "edges": of(owned), "paths": of(paths.where(~at_root)), "roots": of(roots)})
+
+    def store_errors(self, errors: DataFrame) -> None:
+        """Files (file, tag, error) that could not be indexed: what was there of them goes."""
+        none = lambda t: self.spark.createDataFrame([], self.TABLES[t])
+        self.versions.replace(errors, {"graphs": errors, **{t: none(t) for t in ("nodes", "edges", "paths", "roots")}})
 
     def clean(self, path: str | None = None) -> int:
-        graphs, paths = self.read("graphs"), self.read("paths")
-        n = graphs.count()
-        kept = (graphs.where("false"), paths.where("false")) if path is None else (clean(graphs, path), clean(paths, path))
-        self._write(*kept)
-        return n - self.read("graphs").count()
+        """Drop the files at or below ``path``, or all; returns how many."""
+        gone = listing(self.graphs(), path).select("file")
+        n = gone.count()
+        if path is None:
+            self.versions.clear()
+        elif n:
+            self.versions.replace(gone, {t: self.spark.createDataFrame([], ddl) for t, ddl in self.TABLES.items()})
+        return n
+
+    def clear_paths(self) -> None:
+        """Drop the summaries; graphs stay."""
+        self.versions.clear(["paths", "roots"])
+
+    # ---- reading
+
+    def graphs(self) -> DataFrame:
+        return self.versions.read("graphs")
+
+    def listing(self, path: str | None = None) -> DataFrame:
+        return listing(self.graphs(), path)
+
+    def status(self, requests: DataFrame) -> DataFrame:
+        return status(requests, self.graphs())
+
+    def graph(self, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Nodes (with those of no file) and edges of a file, of all files below a folder, or of all. An indexing error of the
+        file itself is raised."""
+        rows = self.listing(path)
+        if path is not None:
+            failed = rows.where((F.col("file") == path) & F.col("error").isNotNull()).collect()
+            if failed:
+                raise ValueError(f"{path}: {failed[0]['error']}")
+        files = rows.where("error is null").select("file")
+        of = lambda t: self.versions.read(t) if path is None else self.versions.read_keys(t, files)
+        return of("nodes").unionByName(self.spark.createDataFrame(singletons(), NODES_DDL)), of("edges").drop("file")
+
+    def paths_for_nodes(self, nodes: DataFrame) -> DataFrame:
+        """The partial paths that start at nodes (nid): only their files' buckets are read."""
+        asked = nodes.select("nid", F.regexp_extract("nid", r"^(.*)\(\d+\)$", 1).alias("file")).distinct()
+        return self.versions.read_keys("paths", asked).join(asked.select(F.col("nid").alias("start_nid")), "start_nid", "left_semi")
+
+    def paths_for_roots(self, stacks: DataFrame, stack: str = "sym_post") -> DataFrame:
+        """The root paths that fit any of the symbol stacks: equal ones, those whose variable takes the rest, and, where the stack
+        has a variable, longer ones. Keys are joined by equality."""
+        roots = self.versions.read("roots")
+        s = stacks.select(F.col(stack).alias("s")).distinct()
+        texts = prefix_keys("s.symbols")
+        exact = s.select(F.explode(F.filter(F.array(storage_key("s"), F.concat(F.lit("V␞"), F.element_at(texts, -1)), F.concat(F.lit("X␞"), F.element_at(texts, -1))), lambda k: k.isNotNull())).alias("root_key"))
+        shorter = s.select(F.explode(F.transform(texts, lambda k: F.concat(F.lit("V␞"), k))).alias("root_key"))
+        longer = s.where("s.variable is not null").select(F.element_at(texts, -1).alias("q_key"), F.size("s.symbols").alias("q_n")).distinct()
+        each = F.explode(F.arrays_zip(prefix_keys("sym_pre.symbols").alias("key"), F.sequence(F.lit(0), F.size("sym_pre.symbols")).alias("n")))
+        open_ = roots.withColumn("p", each).withColumns({"p_key": F.col("p.key"), "p_n": F.col("p.n")}).drop("p")
+        extended = open_.join(longer, (F.col("p_key") == F.col("q_key")) & (F.col("p_n") == F.col("q_n")), "left_semi").drop("p_key", "p_n")
+        known = roots.join(exact.union(shorter).distinct(), "root_key", "left_semi")
+        return known.unionByName(extended).distinct().drop("root_key")
+
+    def paths(self) -> DataFrame:
+        return self.versions.read("paths").unionByName(self.versions.read("roots").drop("root_key"))
+
+    def stats(self) -> DataFrame:
+        """Rows by table."""
+        out = None
+        for t in self.TABLES:
+            n = self.versions.read(t).agg(F.lit(t).alias("table"), F.count("*").alias("n"))
+            out = n if out is None else out.unionByName(n)
+        return out
