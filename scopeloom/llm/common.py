@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, shared_dir, ship
 
-__all__ = ["Scratch", "ascii_lower", "carried", "connected_components", "merge", "roots", "shared_dir", "ship", "shuffle_partitions", "uncarried"]
+__all__ = ["Scratch", "ascii_lower", "broadcast_if_small", "carried", "connected_components", "merge", "roots", "shared_dir", "ship", "shuffle_partitions", "uncarried"]
 
 ship(__name__)
 
@@ -26,6 +26,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes up to which the small side of a join is broadcast.
+BROADCAST_BYTES = 64_000_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if its rows, as text, have at most ``most`` bytes in sum; else Spark chooses a shuffle join."""
+    return F.broadcast(df) if (df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 16)).first()[0] or 0) <= most else df
+
+
 def carried(docs: DataFrame, used: list[str], keep: list[str] | None) -> DataFrame:
     """The columns ``used`` as they are, and those in ``keep`` as one struct ``_kept``, where no name of theirs can clash."""
     keep = [F.col(f"`{c}`") for c in keep or []]

@@ -3,22 +3,16 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, carried, uncarried
+from .common import Scratch, ascii_lower, broadcast_if_small, carried, uncarried
 
 #: Characters that end a word: ASCII other than letters and digits.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows up to which the benchmark's side of a join, or the candidates, are broadcast; beyond, Spark joins by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _BETWEEN), "")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _shingles(df: DataFrame, keys: list[str], order: int) -> DataFrame:
     """One row per position of ``w`` with the hash of ``order`` words from there on."""
     n = F.size("w")
@@ -70,7 +64,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         tokens = scratch.table(union([_shingles(sized[k], ["item_id", "item", "n"], k).withColumn("k_words", F.lit(k)) for k in orders]), "tokens")
         counts = []
         for k in orders:
-            known = _small(tokens.where(F.col("k_words") == k).select("h").distinct())
+            known = broadcast_if_small(tokens.where(F.col("k_words") == k).select("h").distinct())
             counts.append(_shingles(corpus, [], k).join(known, "h").groupBy("h").agg(F.count("*").alias("df")).withColumn("k_words", F.lit(k)))
         counts = scratch.table(union(counts), "counts")  # a token that no document has can't be in a contained window
         # each window's rarest token; windows with a token that occurs nowhere need no look-up, so the inner join may lose them
@@ -80,16 +74,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         prefix = scratch.table(first.where("t.df > 0").select("item_id", "item", "k_words", F.col("t.h").alias("h"), F.col("t.pos").alias("item_pos"), "n").distinct(), "prefix")
         parts = []
         for k in orders:
-            side = _small(prefix.where(F.col("k_words") == k).select("h", "item_id", "item", "item_pos", "n"))
+            side = broadcast_if_small(prefix.where(F.col("k_words") == k).select("h", "item_id", "item", "item_pos", "n"))
             near = _shingles(corpus.withColumn("n_doc", F.size("w")), ["doc_id", "k", "n_doc"], k).join(side, "h")
             shift = F.col("pos") - F.col("item_pos")
             wide = F.least(F.lit(window), F.col("n"))
             parts.append(near.where((shift + F.col("n") >= wide) & (shift <= F.col("n_doc") - wide)).select("doc_id", "k", "item_id", "item", shift.alias("shift")).distinct())
         aligned = scratch.table(union(parts).distinct(), "aligned")
         texts = items.select(F.col("item_id").alias("_id_of"), F.col("item").alias("_item"), F.col("w").alias("words"))
-        joined = aligned.join(_small(texts), (F.col("item") == F.col("_item")) & F.col("item_id").eqNullSafe(F.col("_id_of")))
+        joined = aligned.join(broadcast_if_small(texts), (F.col("item") == F.col("_item")) & F.col("item_id").eqNullSafe(F.col("_id_of")))
         found = joined.groupBy(F.col("doc_id").alias("_id"), "k").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("c"))
-        found = _small(scratch.table(found, "found"))
+        found = broadcast_if_small(scratch.table(found, "found"))
     base = docs.select("doc_id", "_kept", F.xxhash64("doc_id", "text").alias("k"), words(F.col("text")).alias("w"))
     if found is None:
         base = base.withColumn("c", F.expr("cast(null as array<struct<item_id string, shift int, words array<string>>>)"))

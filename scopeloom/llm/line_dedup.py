@@ -3,15 +3,11 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, broadcast_if_small
 
 ANY = "<*>"
 #: Shares of a leaf's documents that must have a token at its place for it to be constant; lines are judged once by each.
 SHARES = (0.1, 0.5)
-#: Rows up to which the recurring lines are broadcast; beyond, Spark joins by shuffle.
-BROADCAST_ROWS = 200_000
-#: Leaves, a number and a flag each, up to which they are broadcast: some 60 MB as a table of numbers.
-BROADCAST_LEAVES = 2_000_000
 
 
 def _masked(text_col: str):
@@ -64,7 +60,7 @@ def recurring_lines(places: DataFrame, scratch: Scratch, min_docs: int = 3, leas
     each = places.where("once")
     leaves = each.groupBy("leaf").agg(F.count_if(~F.col("extra")).alias("leaf_docs"), (F.min("h1") == F.max("h1")).alias("alone")).where(F.col("leaf_docs") >= min_docs)
     leaves = scratch.table(leaves.select("leaf", "leaf_docs", "alone"), "leaves")
-    small = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+    small = broadcast_if_small(leaves)
     kept = each.select("leaf", "n", "m").join(small, "leaf").groupBy("leaf", "n", "m").agg(F.first("alone").alias("alone"), F.first("leaf_docs").alias("total"), F.count("*").alias("docs"))
     kept = scratch.table(kept, "candidates")
     constants = F.size(F.filter(F.split("m", " "), lambda t: t != ANY))
@@ -81,7 +77,7 @@ def recurring_lines(places: DataFrame, scratch: Scratch, min_docs: int = 3, leas
     # a leaf with constants at too few places has no template that counts: most leaves that prose falls into end here
     rich = common.select("leaf", "n", "pos").distinct().groupBy("leaf", "n").agg(F.count("*").alias("places")).where(F.col("places") >= least_constant * F.col("n"))
     rich = scratch.table(rich.drop("places"), "rich")
-    few = F.broadcast(rich) if rich.count() <= BROADCAST_ROWS else rich
+    few = broadcast_if_small(rich)
     left = scratch.table(several.join(few, ["leaf", "n"]), "in-rich-leaves")
 
     # documents with several lines of such a leaf
@@ -131,7 +127,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, lea
     scratch = Scratch(docs.sparkSession, "lines")
     places = scratch.table(_places(docs, depth, id_col, text_col), "places")  # texts are masked once
     recurring = recurring_lines(places, scratch, min_docs, least_constant, depth)
-    small = F.broadcast(recurring) if recurring.count() <= BROADCAST_ROWS else recurring
+    small = broadcast_if_small(recurring)
     slim = places.select("_id", "k", "line", "h1", "h2")
     hits = scratch.table(slim.join(small, ["h1", "h2"]).groupBy("_id", "k").agg(F.collect_set("line").alias("drop")), "hits")
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_k"))

@@ -5,10 +5,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, carried, uncarried
+from .common import Scratch, broadcast_if_small, carried, uncarried
 
-#: Sources up to which the small table of weights is broadcast; beyond, Spark joins by shuffle.
-BROADCAST_SOURCES = 50_000
 #: Of a hash of 60 bits, those that order rows; buckets and groups of buckets are ranges of it.
 _BITS = 60
 
@@ -69,7 +67,7 @@ def mixture(rows: DataFrame, scratch: Scratch, target_entropy: float = 0.95, max
 
 
 def _joined(df: DataFrame, plan: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan, "_source")
+    return df.join(broadcast_if_small(plan), "_source")
 
 
 def block_permutation(rows: DataFrame, plan: DataFrame, scratch: Scratch, block_tokens: int = 1_000_000, bucket_rows: int = 512, group_buckets: int = 4_096, seed: int = 17) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Queries over the synthetic tables, one per operator, and the SQL that checks those it can express."""
+"""Queries over the synthetic tables, one per operator; ``ORACLES`` is the SQL that checks those it can express."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, embed_codes, katz_lm, line_dedup, mixing, repeats, sharding, simhash_vp, toxicity, url_graph
+from .oracles import ORACLES
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,53 +54,6 @@ def op10_compression_toxicity(spark, sf_dir):
     return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-_DOC_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
-
-_MASKED = "list_transform(list_filter(string_split(regexp_replace(raw, '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' '), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END)"
-
-ORACLES = {
-    "op1_line_template_dedup": rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-l AS (SELECT r, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line FROM d WHERE text IS NOT NULL),
-m AS (SELECT r, line, raw, {_MASKED} AS t FROM l),
-o AS (SELECT DISTINCT r, t, len(t) AS n, t[1:3] AS leaf FROM m WHERE len(t) > 0),
-leaves AS (SELECT n, leaf, count(DISTINCT r) AS total, count(DISTINCT t) AS kinds FROM o GROUP BY n, leaf HAVING count(DISTINCT r) >= 3),
-c AS (SELECT o.*, total, kinds FROM o JOIN leaves USING (n, leaf)),
-alone AS (SELECT DISTINCT t FROM c WHERE kinds = 1 AND len(list_filter(t, lambda x: x <> '<*>')) >= 0.5 * n),
-tok AS (SELECT n, leaf, pos, t[pos] AS token, count(DISTINCT r) AS s FROM c, unnest(range(1, n + 1)) AS u(pos) WHERE kinds > 1 AND t[pos] <> '<*>' GROUP BY ALL HAVING count(DISTINCT r) >= 3),
-lines AS (SELECT DISTINCT t, n, leaf, total FROM c WHERE kinds > 1),
-marked AS (SELECT lines.t, lines.n, lines.leaf, share, list(CASE WHEN s >= greatest(3, share * total) THEN tok.token END ORDER BY u.pos) AS x
-           FROM lines CROSS JOIN (VALUES (0.0), (0.1), (0.5)) AS v(share) CROSS JOIN unnest(range(1, n + 1)) AS u(pos)
-           LEFT JOIN tok ON tok.n = lines.n AND tok.leaf = lines.leaf AND tok.pos = u.pos AND tok.token = lines.t[u.pos] GROUP BY lines.t, lines.n, lines.leaf, share),
-fit AS (SELECT * FROM marked WHERE len(list_filter(x, lambda y: y IS NOT NULL)) >= 0.5 * n
-        AND (share = 0 OR (n > 3 AND len(list_filter(x[4:], lambda y: y IS NOT NULL)) >= 0.5 * (n - 3)))),
-often AS (SELECT share, n, leaf, x FROM fit JOIN c USING (t, n, leaf) GROUP BY ALL HAVING count(DISTINCT r) >= 3),
-gone AS (SELECT t FROM alone UNION SELECT t FROM fit JOIN often ON fit.share = often.share AND fit.n = often.n AND fit.leaf = often.leaf AND fit.x IS NOT DISTINCT FROM often.x),
-k AS (SELECT r, count(*) AS n_lines, count(*) FILTER (m.t IN (SELECT t FROM gone)) AS n_dropped,
-      coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (m.t NOT IN (SELECT t FROM gone)), '') AS kept FROM m GROUP BY r)
-SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)""",
-    "op5_prefix_filtered_decontamination": rf"""
-WITH d AS (SELECT doc_id, {_DOC_WORDS} AS w FROM documents),
-i AS (SELECT item_id, {_DOC_WORDS} AS w FROM benchmark),
-iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s + 1 : s + least(10, len(w))], ' ') AS t
-       FROM i, unnest(range(0, greatest(1, len(w) - 9))) AS u(s) WHERE len(w) > 0),
-sizes AS (SELECT DISTINCT n FROM iw),
-dw AS (SELECT doc_id, s, n, array_to_string(w[s + 1 : s + n], ' ') AS t FROM d, sizes, unnest(range(0, len(w) - n + 1)) AS u(s)),
-hit AS (SELECT doc_id, s, dw.n, item_id FROM dw JOIN iw ON dw.t = iw.t AND dw.n = iw.n),
-hits AS (SELECT doc_id, count(DISTINCT s + k) AS n_hit FROM hit, unnest(range(0, n)) AS u(k) GROUP BY doc_id),
-it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM hit GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN it USING (doc_id)""",
-    "op8_rotated_codes": """
-WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-ok AS (SELECT vec_id, v FROM e WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0),
-p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
-reach AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT reach.x, p.y FROM reach JOIN p ON reach.y = p.x),
-c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
-n AS (SELECT x, count(*) AS n_links FROM p GROUP BY x)
-SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
-FROM e JOIN c ON c.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id""",
-}
-
 QUERIES = {f.__name__: f for f in (op1_line_template_dedup, op2_katz_backoff, op3_byte_prefix_shards, op4_prefix_free_repeats, op5_prefix_filtered_decontamination, op6_host_trust, op7_simhash_vantage_tree, op8_rotated_codes, op9_temperature_mixing, op10_compression_toxicity)}
+
+__all__ = ["ORACLES", "QUERIES"]
