@@ -1,15 +1,18 @@
 """General path algebra on single paths with variables: unification, concatenation, cyclicity, partial path predicates.
 
 A path is a dict with the columns of the paths table. Stacks: {"symbols": [{"symbol", "scopes"}], "variable"} and
-{"scopes": [...], "variable"}. ``concatenate_udf`` and ``cyclic_udf`` run it in Arrow batches for the rare rows that need it;
-the search itself uses the column expressions of ``stacks``.
+{"scopes": [...], "variable"}. ``concatenated`` and ``cycles`` run it over tables, in Arrow batches; the searches themselves use
+the column expressions of ``stacks``.
 """
 
 from copy import deepcopy
 
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..schema import EDGES, JUMP, PATHS_DDL, SCOPES, SYMBOLS
+from ..schema import JUMP, PATHS_DDL
 from ..session import ship
 
 ship(__name__)
@@ -203,25 +206,36 @@ def cyclicity(path: dict, node: dict) -> str | None:
     return "free"
 
 
-def _row(x):
-    return x.asDict(True) if hasattr(x, "asDict") else x
+def _paths(table: pa.Table | pa.RecordBatch, name: str) -> list[dict]:
+    return table.column(name).to_pylist()
 
 
-_PATH = "struct<" + PATHS_DDL.replace(" string", ":string").replace(f" {SYMBOLS}", f":{SYMBOLS}").replace(f" {SCOPES}", f":{SCOPES}").replace(f" {EDGES}", f":{EDGES}").replace(", ", ",") + ">"
+def concatenated(pairs: DataFrame) -> DataFrame:
+    """The paths that pairs of paths make: ``pairs`` has ``left`` and ``right`` (paths as structs) and ``kind``, that of the node at
+    which they meet. Pairs that don't join have no row. Worked in Arrow batches; a join on ends comes before."""
+    path = pairs.sparkSession.createDataFrame([], PATHS_DDL).schema
+    arrow = to_arrow_schema(path)
 
+    def run(batches):
+        for b in batches:
+            made = []
+            for left, right, kind in zip(_paths(b, "left"), _paths(b, "right"), b.column("kind").to_pylist()):
+                try:
+                    made.append(concatenate(left, right, {"kind": kind}))
+                except Mismatch:
+                    continue
+            yield pa.RecordBatch.from_pylist(made, arrow)
 
-def concatenate_udf():
-    """Column form of ``concatenate`` (null where the paths don't join), in Arrow batches."""
+    return pairs.select("left", "right", "kind").mapInArrow(run, path)
 
-    def run(left, right, node):
-        try:
-            return concatenate(_row(left), _row(right), _row(node))
-        except Mismatch:
-            return None
 
-    return F.udf(run, _PATH, useArrow=True)
+def cycles(paths: DataFrame, key: str) -> DataFrame:
+    """(key, cyclicity) of paths (``path`` as struct, ``kind`` of their end); null where a path can't follow itself."""
+    schema = StructType([paths.schema[key]]).add("cyclicity", "string")
 
+    def run(batches):
+        for b in batches:
+            found = [cyclicity(p, {"kind": k}) for p, k in zip(_paths(b, "path"), b.column("kind").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(found, pa.string())], [key, "cyclicity"])
 
-def cyclic_udf():
-    """Column form of ``cyclicity``, in Arrow batches."""
-    return F.udf(lambda path, node: cyclicity(_row(path), _row(node)), "string", useArrow=True)
+    return paths.select(key, "path", "kind").mapInArrow(run, schema)

@@ -69,6 +69,78 @@ def resolve_jump(paths: DataFrame) -> DataFrame:
     })
 
 
+# ---- stacks and edge lists from both ends
+
+
+def _with(stack: str, items: Column) -> Column:
+    """A stack column with other items and the variable that it has."""
+    name, kind = ("scopes", SCOPES) if stack.startswith("sco") else ("symbols", SYMBOLS)
+    return F.struct(items.alias(name), F.col(f"{stack}.variable").alias("variable")).cast(kind)
+
+
+def _of(stack: str) -> Column:
+    return F.col(f"{stack}.{'scopes' if stack.startswith('sco') else 'symbols'}")
+
+
+def push_front(stack: str, item: Column) -> Column:
+    return _with(stack, F.array_prepend(_of(stack), item))
+
+
+def push_back(stack: str, item: Column) -> Column:
+    return _with(stack, F.array_append(_of(stack), item))
+
+
+def pop_front(stack: str) -> tuple[Column, Column]:
+    """The first item, null if there is none, and the rest."""
+    return F.get(_of(stack), F.lit(0)), _with(stack, F.slice(_of(stack), 2, F.greatest(F.size(_of(stack)), F.lit(1))))
+
+
+def pop_back(stack: str) -> tuple[Column, Column]:
+    return F.get(_of(stack), F.size(_of(stack)) - 1), _with(stack, F.slice(_of(stack), 1, F.greatest(F.size(_of(stack)) - 1, F.lit(0))))
+
+
+def edges_push(edges: str, edge: Column, front: bool = False) -> Column:
+    return F.array_prepend(edges, edge) if front else F.array_append(edges, edge)
+
+
+def edges_pop(edges: str, front: bool = False) -> tuple[Column, Column]:
+    if front:
+        return F.get(edges, F.lit(0)), F.slice(edges, 2, F.greatest(F.size(edges), F.lit(1)))
+    return F.get(edges, F.size(edges) - 1), F.slice(edges, 1, F.greatest(F.size(edges) - 1, F.lit(0)))
+
+
+# ---- variables
+
+
+def largest_symbol_variable() -> Column:
+    """Of the preconditions, 0 if there is none."""
+    return F.coalesce(F.col("sym_pre.variable"), F.lit(0))
+
+
+def largest_scope_variable() -> Column:
+    return F.expr("greatest(coalesce(sco_pre.variable, 0), coalesce(array_max(transform(sym_pre.symbols, x -> x.scopes.variable)), 0))")
+
+
+def fresh_scope_variable() -> Column:
+    return largest_scope_variable() + 1
+
+
+def renamed(stack: str, symbols: Column, scopes: Column) -> Column:
+    """A stack whose variables are moved on: its own, and those of scopes attached to its symbols."""
+    if stack.startswith("sco"):
+        return F.struct(F.col(f"{stack}.scopes").alias("scopes"), (F.col(f"{stack}.variable") + scopes).alias("variable")).cast(SCOPES)
+    attached = lambda x: F.when(x["scopes"].isNotNull(), F.struct(x["scopes"]["scopes"].alias("scopes"), (x["scopes"]["variable"] + scopes).alias("variable")))
+    each = F.transform(F.col(f"{stack}.symbols"), lambda x: F.struct(x["symbol"].alias("symbol"), attached(x).alias("scopes")))
+    return F.struct(each.alias("symbols"), (F.col(f"{stack}.variable") + symbols).alias("variable")).cast(SYMBOLS)
+
+
+def bound(stack: str, value: str) -> Column:
+    """A stack whose variable stands for another stack: that one's items follow, and its variable is the new one. Without a
+    variable the stack stays."""
+    joined = _with(value, F.concat(_of(stack), _of(value)))
+    return F.when(F.col(f"{stack}.variable").isNotNull(), joined).otherwise(F.col(stack))
+
+
 def symbols_text(col: str) -> Column:
     scopes = "if(x.scopes is null, '', concat('/(', array_join(transform(x.scopes.scopes, y -> concat('[', y, ']')), ','), if(x.scopes.variable is null, '', concat(if(size(x.scopes.scopes) > 0, ',', ''), '$', x.scopes.variable)), ')'))"
     return F.expr(f"concat('<', array_join(transform({col}.symbols, x -> concat(x.symbol, {scopes})), ''), if({col}.variable is null, '', concat(if(size({col}.symbols) > 0, ',', ''), '%', {col}.variable)), '>')")

@@ -5,6 +5,7 @@ failed, what was seen and what goes round in circles, and writes the rest: linea
 shared folder, which survives the loss of an executor.
 """
 
+from collections import deque
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -15,6 +16,8 @@ from ..operators.lookup import join_paths, prepare_paths
 from ..schema import JUMP, ROOT
 from ..session import Scratch
 
+#: Statistics of the last searches of this process, for benchmarks.
+RECENT: deque = deque(maxlen=16)
 #: A loop that doesn't end is an error, never a shorter answer.
 MAX_PHASES = 500
 _STATE = ["sym_pre", "sco_pre", "sym_post", "sco_post"]
@@ -102,11 +105,12 @@ def _counted(df: DataFrame, write) -> tuple[DataFrame, int]:
 
 def _search(seeds: DataFrame, extend, stop, report, key: list[str], ground: bool, config: Config, scratch: Scratch, joins: DataFrame | None = None) -> DataFrame:
     """Rows that ``report`` holds for, from all phases. ``extend`` maps a frontier to its continuations, ``stop`` says which
-    rows aren't continued (seeds always are). One table a phase is written; hashes of the paths seen are appended to one."""
+    rows aren't continued (seeds always are). One table a phase is written; the hashes of the paths seen are read from these."""
     seeds = seeds.withColumn("trail", F.expr(_EMPTY)).withColumn("trail", F.expr(_visit("t.low")))
     frontier, size = _counted(seeds, lambda df: scratch.table(df, "phase-0"))
     seen, out, phase, waiting = None, [], 0, []
     stats = config.stats or Stats()
+    RECENT.append(stats)
     stats.initial = size
     while True:
         if config.check is not None:
@@ -134,7 +138,7 @@ def _search(seeds: DataFrame, extend, stop, report, key: list[str], ground: bool
                 config.on_phase(phase, new)
             out.append(new.where(report))
             if config.detect_similar:
-                seen = scratch.append(new.select("h1", "h2"), "seen")
+                seen = scratch.read([f"phase-{k}" for k in range(1, phase + 1)], new.select("h1", "h2"))
                 new = new.drop("h1", "h2")
             frontier, size = new.where(~stop & ~_circles(ground)), n
         elif waiting:

@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as pf
 from ..functions import positions as pos
-from ..operators import assertions, graph
+from ..operators import assertions, graph, kernel, stacks
 from ..operators import predicates as pr
-from ..schema import EDGES_DDL, NODES_DDL, PATHS_DDL
+from ..schema import EDGES_DDL, NODES_DDL, PATHS_DDL, ROOT, SCOPES
 from ..session import Scratch
 from ..sources import builder, exchange
 from . import adapters as ad
-from .closure import Config, Stats, resolve_edges
+from .closure import Config, Stats, partial_paths, resolve_edges
 from .queries import _GEO, _PATH, _RING, _answers, _local, _paths, query
 
 # ---- access
@@ -153,6 +153,65 @@ def path_order_first(spark, sf_dir):
     return p.groupBy("start_nid").agg(F.min_by("o_orderkey", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(pr.path_order())], "o_orderkey")).alias("orderkey"))
 
 
+# ---- path algebra
+
+
+def _structs(paths, name):
+    columns = ["file", "start_nid", "end_nid", "sym_pre", "sco_pre", "sym_post", "sco_post", "edges"]
+    return F.struct(*[F.col(c) for c in columns]).alias(name)
+
+
+@query(f"SELECT s_suppkey AS supplier, r_name || '(0)' AS end_nid, '.' || n_name AS left_over, 4::BIGINT AS edges FROM ({_SUPPLIED})")
+def path_concatenate(spark, sf_dir):
+    """Every supplier's way to the root followed by every way from the root on: only that to its own region joins."""
+    s = Scratch(spark, "concatenate")
+    paths = s.table(partial_paths(*_suppliers(spark, sf_dir)), "paths")
+    left, right = paths.where(F.col("end_nid") == ROOT).select(_structs(paths, "left")), paths.where(F.col("start_nid") == ROOT).select(_structs(paths, "right"))
+    made = kernel.concatenated(left.join(right, F.col("left.end_nid") == F.col("right.start_nid")).withColumn("kind", F.lit("root")))
+    rest = F.array_join(F.transform("sym_post.symbols", lambda x: x["symbol"]), "")
+    return made.select((_local("start_nid") / 3).cast("bigint").alias("supplier"), "end_nid", rest.alias("left_over"), F.size("edges").cast("bigint").alias("edges"))
+
+
+@query("SELECT n_nationkey AS nation, CASE n_nationkey % 4 WHEN 0 THEN 'strengthens_precondition' WHEN 1 THEN 'strengthens_postcondition' WHEN 2 THEN NULL ELSE 'strengthens_postcondition' END AS cyclicity FROM nation")
+def path_cycles(spark, sf_dir):
+    """Paths from a node to itself that take a symbol, leave one, take another than they leave, and take and leave the same."""
+    k, none = F.col("n_nationkey") % 4, F.array().cast("array<string>")
+    pre = F.when(k == 0, F.array(F.lit("a"))).when(k == 1, none).otherwise(F.array(F.lit("a")))
+    post = F.when(k == 0, none).when(k == 2, F.array(F.lit("b"))).otherwise(F.array(F.lit("a")))
+    scopes = F.expr("named_struct('scopes', cast(array() as array<string>), 'variable', 1)")
+    rows = ad.table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.lit("f").alias("file"), F.lit("n").alias("start_nid"), F.lit("n").alias("end_nid"), ad.stack_of(pre, 1).alias("sym_pre"), scopes.alias("sco_pre"), ad.stack_of(post, 1).alias("sym_post"), scopes.alias("sco_post"),
+        F.array(F.struct(F.lit("n").alias("source"), F.lit(0).alias("precedence"))).alias("edges"),
+    )
+    found = kernel.cycles(rows.select("n_nationkey", _structs(rows, "path"), F.lit("scope").alias("kind")), "n_nationkey")
+    return found.withColumnRenamed("n_nationkey", "nation")
+
+
+@query(_STATED + "SELECT orderkey, repeat('x', 1) || substr('ab', 1, pre) AS front, substr('ab', 1, pre) || 'x' AS back, CASE WHEN pre > 0 THEN 'a' END AS first, substr('ab', 2, greatest(pre - 1, 0)) AS rest, CASE WHEN pre > 0 THEN substr('ab', pre, 1) END AS last, substr('ab', 1, greatest(pre - 1, 0)) AS before, CASE WHEN sco > 0 THEN 'a' END AS scope, pre + 1 AS edges FROM p")
+def stack_ends(spark, sf_dir):
+    """Stacks and edge lists, pushed to and popped from both ends."""
+    _, p = _stated(spark, sf_dir)
+    x = F.struct(F.lit("x").alias("symbol"), F.lit(None).cast(SCOPES).alias("scopes"))
+    names = lambda c: F.array_join(F.transform(c["symbols"], lambda s: s["symbol"]), "")
+    (first, rest), (last, before) = stacks.pop_front("sym_pre"), stacks.pop_back("sym_pre")
+    edges = stacks.edges_push("edges", F.struct(F.lit("x").alias("source"), F.lit(0).alias("precedence")), True)
+    return p.select(
+        F.col("o_orderkey").alias("orderkey"), names(stacks.push_front("sym_pre", x)).alias("front"), names(stacks.push_back("sym_pre", x)).alias("back"), first["symbol"].alias("first"), names(rest).alias("rest"), last["symbol"].alias("last"), names(before).alias("before"),
+        stacks.pop_front("sco_pre")[0].alias("scope"), F.size(edges).cast("bigint").alias("edges"),
+    )
+
+
+@query(_STATED + "SELECT orderkey, 0::INTEGER AS symbol_variable, 1::INTEGER AS scope_variable, 2::INTEGER AS fresh, 6::INTEGER AS moved, substr('ab', 1, post) || substr('ab', 1, pre) AS bound FROM p")
+def stack_variables(spark, sf_dir):
+    """Largest variables, variables moved on, and a variable bound to another stack."""
+    _, p = _stated(spark, sf_dir)
+    joined = stacks.bound("sym_post", "sym_pre")
+    return p.select(
+        F.col("o_orderkey").alias("orderkey"), stacks.largest_symbol_variable().alias("symbol_variable"), stacks.largest_scope_variable().alias("scope_variable"), stacks.fresh_scope_variable().alias("fresh"),
+        stacks.renamed("sco_pre", F.lit(0), F.lit(5))["variable"].alias("moved"), F.array_join(F.transform(joined["symbols"], lambda s: s["symbol"]), "").alias("bound"),
+    )
+
+
 # ---- filters
 
 
@@ -168,15 +227,8 @@ def no_filter(spark, sf_dir):
     return pr.no_filter().apply(nodes, edges, spark.createDataFrame([], PATHS_DDL))[0].where("file like 'supplier/%'").agg(F.count("*").alias("nodes"))
 
 
-@query(_STATED + "SELECT orderkey FROM p JOIN n a ON a.k = s JOIN n b ON b.k = e WHERE pre > 0 AND false OR orderkey < 0")
-def visualization_filter(spark, sf_dir):
-    """Paths with edges have a precondition here, so none starts at a reference."""
-    nodes, paths = _stated(spark, sf_dir)
-    return pr.with_ends(paths, nodes).where(pr.visualization_filter().paths).select(F.col("o_orderkey").alias("orderkey"))
-
-
 @query(f"SELECT r_name || '(' || n_nationkey + 10 || ')' AS end_nid, count(*) AS n FROM ({_SUPPLIED}) GROUP BY 1")
-def visualized_answers(spark, sf_dir):
+def visualization_filter(spark, sf_dir):
     """Of all answers, those worth a line in a picture."""
     nodes, edges, found = _found(spark, sf_dir)
     return pr.with_ends(found, nodes).where(pr.visualization_filter().paths).groupBy("end_nid").agg(F.count("*").alias("n"))

@@ -1,11 +1,11 @@
 """Session helpers: the folder shared by driver and executors, written intermediate tables, code for Python workers."""
 
 import atexit
+import contextlib
 import shutil
 import sys
 import tempfile
 import uuid
-import warnings
 
 from py4j.protocol import Py4JError
 from pyspark import cloudpickle
@@ -41,7 +41,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
+        atexit.register(self._at_exit)
 
     def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """``df`` written and read again. The shuffles that made it are deleted with the write: the table replaces them."""
@@ -55,19 +55,17 @@ class Scratch:
             self.spark.conf.unset(_CLEAN_UP) if before is None else self.spark.conf.set(_CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def append(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` added to a table, and the whole of it."""
-        path = f"{self.base}/{name}"
-        df.write.mode("append").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def read(self, names: list[str], like: DataFrame) -> DataFrame:
+        """The columns of ``like`` from several tables, as one scan."""
+        return self.spark.read.schema(like.schema).parquet(*[f"{self.base}/{n}" for n in names])
 
     def drop(self, name: str = "") -> None:
-        """Frees one table, or all. At the interpreter's end the session may be gone; the folder is scratch space then."""
-        if self.spark.sparkContext._jsc is None or self.spark.sparkContext._jsc.sc().isStopped():
-            return
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except (Py4JError, OSError) as e:
-            warnings.warn(f"scratch folder {self.base}/{name} was not deleted: {e}", stacklevel=2)
+        """Frees one table, or all."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _at_exit(self) -> None:
+        """At the interpreter's end the session may be gone; the folder is the cluster's scratch space then."""
+        with contextlib.suppress(Py4JError, OSError, AttributeError):
+            self.drop()

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import path_descendant_of
-from ..operators.lookup import prefix_keys, storage_key
+from ..operators.lookup import root_candidates, storage_key
 from ..schema import EDGES_DDL, NODES_DDL, PATHS_DDL, ROOT, singletons
 from ..session import Scratch
 from .versions import Versions
@@ -122,17 +122,9 @@ class FileIndex:
     def paths_for_roots(self, stacks: DataFrame, stack: str = "sym_post") -> DataFrame:
         """The root paths that fit any of the symbol stacks: equal ones, those whose variable takes the rest, and, where the stack
         has a variable, longer ones. Keys are joined by equality."""
-        roots = self.versions.read("roots")
-        s = stacks.select(F.col(stack).alias("s")).distinct()
-        texts = prefix_keys("s.symbols")
-        exact = s.select(F.explode(F.filter(F.array(storage_key("s"), F.concat(F.lit("V␞"), F.element_at(texts, -1)), F.concat(F.lit("X␞"), F.element_at(texts, -1))), lambda k: k.isNotNull())).alias("root_key"))
-        shorter = s.select(F.explode(F.transform(texts, lambda k: F.concat(F.lit("V␞"), k))).alias("root_key"))
-        longer = s.where("s.variable is not null").select(F.element_at(texts, -1).alias("q_key"), F.size("s.symbols").alias("q_n")).distinct()
-        each = F.explode(F.arrays_zip(prefix_keys("sym_pre.symbols").alias("key"), F.sequence(F.lit(0), F.size("sym_pre.symbols")).alias("n")))
-        open_ = roots.withColumn("p", each).withColumns({"p_key": F.col("p.key"), "p_n": F.col("p.n")}).drop("p")
-        extended = open_.join(longer, (F.col("p_key") == F.col("q_key")) & (F.col("p_n") == F.col("q_n")), "left_semi").drop("p_key", "p_n")
-        known = roots.join(exact.union(shorter).distinct(), "root_key", "left_semi")
-        return known.unionByName(extended).distinct().drop("root_key")
+        asked = stacks.select(F.col(stack).alias("sym_post")).distinct()
+        found = root_candidates(asked, self.versions.read("roots"))
+        return found.select(*[F.col(f"r_{c}").alias(c) for c in self.versions.read("roots").columns if c != "root_key"]).distinct()
 
     def paths(self) -> DataFrame:
         return self.versions.read("paths").unionByName(self.versions.read("roots").drop("root_key"))
