@@ -39,47 +39,93 @@ def signature(hashes: np.ndarray, block: int = 2_048) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """Per row: number of distinct shingles, two hashes of their set, its SimHash and the bands' keys."""
+    """Per row: number of distinct shingles, two hashes of their set, its SimHash, the bands' keys and the shingles' hashes."""
 
     def run(batches):
         import xxhash
 
         for b in batches:
-            n, h1, h2, fp, keys = [], [], [], [], []
+            n, h1, h2, fp, keys, sets = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 h = np.array(sorted(xxhash.xxh64_intdigest(s, 42) for s in shingles(t, words)), np.uint64)
                 n.append(len(h))
+                sets.append(h.view(np.int64))
                 raw = h.tobytes()
                 h1.append(xxhash.xxh64_intdigest(raw, 1)), h2.append(xxhash.xxh64_intdigest(raw, 2))
                 fp.append(simhash_vp.majority([h], len(h)) if len(h) else 0)
                 keys.append(signature(h) if len(h) else np.zeros(BANDS, np.int64))
             flat = pa.array(np.concatenate(keys)) if keys else pa.array([], pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * BANDS, BANDS, dtype=np.int32)), flat)
+            ends = np.r_[0, np.cumsum(n)].astype(np.int32)
+            whole = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             hashed = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2, fp)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *hashed, lists], ["row", "n", "h1", "h2", "fp", "keys"])
-
-    return rows.select("row", "text").mapInArrow(run, "row long, n long, h1 long, h2 long, fp long, keys array<long>")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
-    """The pairs (a, b) whose shingles have a Jaccard similarity of ``least`` or more."""
-
-    def run(batches):
-        for batch in batches:
-            a, b, left, right = (batch.column(c).to_pylist() for c in ("a", "b", "left", "right"))
-            hit, last, x = [], None, set()
-            for k in range(len(a)):
-                if a[k] != last:
-                    last, x = a[k], shingles(left[k], words)
-                y = shingles(right[k], words)
-                both = len(x & y)
-                if both >= least * (len(x) + len(y) - both):
-                    hit.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(hit, pa.int64()))
-
-    left = texts.select(F.col("row").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("row").alias("b"), F.col("text").alias("right"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *hashed, lists, whole], ["row", "n", "h1", "h2", "fp", "keys", "set"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, n long, h1 long, h2 long, fp long, keys array<long>, set array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles (``point``, ``set``) have a Jaccard similarity of ``least`` or more."""
+    left = sets.select(F.col("point").alias("a"), F.col("set").alias("left"))
+    right = sets.select(F.col("point").alias("b"), F.col("set").alias("right"))
+    both = F.size(F.array_intersect("left", "right"))
+    joined = pairs.join(right, "b").join(left, "a")
+    return joined.where(both >= F.lit(least) * (F.size("left") + F.size("right") - both)).select("a", "b")
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray], width: int = 8_192) -> np.ndarray:
+    """Numbers of common shingles of each of ``x`` with each of ``y``: products of 0/1 rows, some shingles at a time."""
+    known, column = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    twice = np.bincount(column, minlength=len(known)) > 1  # a shingle of one set alone is common to none
+    place = np.cumsum(twice) - 1
+    owner, column = owner[twice[column]], place[column[twice[column]]]
+    out = np.zeros((len(x), len(y)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(twice.sum()), width):
+        s = slice(*np.searchsorted(column, (at, at + width)))
+        rows = np.zeros((len(x) + len(y), width), np.float32)
+        rows[owner[s], column[s] - at] = 1
+        out += rows[: len(x)] @ rows[len(x) :].T
+    return out
+
+
+def _within(groups: DataFrame, least: float, block: int = 256) -> DataFrame:
+    """Links (a, b) that join the points of each band (``key``, ``point``, ``component``, ``set``, ``keys``) as those of all pairs
+    of different components would. A band of any size is cut into blocks, and each pair of blocks is a task; a pair is compared
+    in the first band that it shares. A task returns one link per point it joins, not the pairs."""
+    sizes = groups.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")
+    dealt = groups.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "point", "component", "set", "keys")
+
+    def compare(key, t):
+        band, i, j = (k.as_py() for k in key)
+        point, component, own = (t.column(c).to_numpy() for c in ("point", "component", "own"))
+        names, parent = np.unique(component, return_inverse=True)
+        if len(names) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(point), BANDS)
+        lists = t.column("set").combine_chunks()
+        sets = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        n = np.array([len(s) for s in sets], np.float32)
+        both = _common([sets[k] for k in x], [sets[k] for k in y])
+        hit = both >= np.float32(least) * (n[x][:, None] + n[y][None, :] - both) - np.float32(1e-3)
+        e, f = (z[w] for z, w in zip((x, y), np.nonzero(hit)))
+        first = keys[e] == keys[f]
+        differ = (component[e] != component[f]) & (first.argmax(1) == (keys[e] == band).argmax(1))
+        a, b = [], []
+        for p, q in zip(e[differ].tolist(), f[differ].tolist()):
+            if parent[p] != parent[q]:
+                both_ = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                if both_ >= least * (n[p] + n[q] - both_):
+                    parent[parent == parent[q]] = parent[p]
+                    a.append(int(point[p])), b.append(int(point[q]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int = 5) -> DataFrame:
@@ -88,44 +134,49 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
 
     Rows with equal sets are one point. First candidates are the neighbours at three bits or fewer of the points' SimHash, by
     vantage-point trees (``simhash_vp``), and of each MinHash band the smallest and the largest point, which joins a large group
-    of copies by few comparisons. Then all pairs of a band that are still in different classes are compared, so the classes
-    are those of all pairs. Each candidate whose size allows ``least`` is decided by its shingles. (SimHash alone would need
-    a reach of some 16 bits for a similarity of 0.8, where triangle bounds prune nothing.) Only groups of texts that are
-    alike but below ``least`` cost all pairs. Texts without words are one class.
+    of copies by few comparisons; then, of each band that is still in several classes, the point that shares most with others,
+    which joins the variants of one text. Last, all pairs of such a band that are in different classes are compared, block by
+    block (``_within``), so the classes are those of all pairs. Each candidate is decided by its shingles, named by 64-bit
+    hashes. (SimHash alone would need a reach of some 16 bits for a similarity of 0.8, where triangle bounds prune nothing.)
+    Only groups of texts that are alike but below ``least`` cost all their pairs. Texts without words are one class.
     """
     sketches = scratch.table(_sketches(rows, words), "sketches")
     sets = scratch.table(sketches.groupBy("h1", "h2").agg(F.min("row").alias("point")), "sets")
-    points = sketches.where("n > 0").join(sets.select(F.col("point").alias("row")), "row", "left_semi")
-    bands = scratch.table(points.select(F.col("row").alias("point"), "n", F.explode("keys").alias("key")), "bands")
-    shared = bands.groupBy("key").agg(F.min("point").alias("low"), F.max("point").alias("high")).where("low < high")
+    points = sketches.where("n > 0").join(sets.select(F.col("point").alias("row")), "row", "left_semi").withColumnRenamed("row", "point")
+    bands = scratch.table(points.select("point", "n", F.explode("keys").alias("key")), "bands")
+    shared = bands.groupBy("key").agg(F.min("point").alias("low"), F.max("point").alias("high"), F.count("*").alias("size")).where("low < high")
     bands = scratch.table(bands.join(shared, "key"), "shared")
-    texts = rows.select("row", "text")
+    shingled = points.select("point", "set")
     sizes = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9
 
-    prints = scratch.table(points.groupBy("fp").agg(F.min("row").alias("least")), "prints")
+    def tried(ends: DataFrame, name: str) -> DataFrame:
+        """Links among (point, end, n): each pair once, if its sizes allow it."""
+        both = ends.where("point <> end").distinct().join(points.select(F.col("point").alias("end"), F.col("n").alias("m")), "end")
+        both = both.where(sizes(F.col("n"), F.col("m"))).select(F.least("point", "end").alias("a"), F.greatest("point", "end").alias("b")).distinct()
+        return scratch.table(_verified(both, shingled, least), name)
+
+    def named(links: DataFrame, name: str) -> DataFrame:
+        """Bands with the components of their points, those alone that have several."""
+        found = connected_components(links, Scratch(scratch.spark, f"near-{name}"))
+        each = bands.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
+        each = scratch.table(each, name)
+        return each.join(each.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key"), "key")
+
+    prints = scratch.table(points.groupBy("fp").agg(F.min("point").alias("least")), "prints")
     linked = simhash_vp.link_fingerprints(prints.select("fp"), scratch)
     linked = linked.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("end")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("point")), "b").select("point", "end")
-    alike = points.join(prints, "fp").where("row <> least").select(F.col("row").alias("point"), F.col("least").alias("end"))
-    alike = alike.unionByName(linked).join(points.select(F.col("row").alias("point"), "n"), "point").select("point", "end", "n")
-
-    ends = bands.select("point", F.explode(F.array("low", "high")).alias("end"), "n").where("point <> end").distinct()
-    ends = ends.unionByName(alike).join(points.select(F.col("row").alias("end"), F.col("n").alias("m")), "end").where(sizes(F.col("n"), F.col("m")))
-    tried = scratch.table(ends.select(F.least("point", "end").alias("a"), F.greatest("point", "end").alias("b")).distinct(), "tried")
-    links = scratch.table(_verified(tried, texts, least, words), "tried-links")
-    found = scratch.table(connected_components(links, scratch), "found")
-
-    named = bands.select("key", "point", "n").join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
-    named = scratch.table(named, "named")
-    mixed = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key")
-    open_ = named.join(mixed, "key")
-    x = open_.select("key", F.col("point").alias("a"), F.col("n").alias("n1"), F.col("component").alias("k1"))
-    y = open_.select("key", F.col("point").alias("b"), F.col("n").alias("n2"), F.col("component").alias("k2"))
-    rest = x.join(y, "key").where("a < b and k1 <> k2").where(sizes(F.col("n1"), F.col("n2"))).select("a", "b").distinct()
-    rest = scratch.table(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = scratch.table(_verified(rest, texts, least, words), "more")
-        if not more.isEmpty():
-            found = scratch.table(connected_components(links.union(more), Scratch(scratch.spark, "near-copies")), "found-all")
+    alike = points.select("point", "fp").join(prints, "fp").where("point <> least").select("point", F.col("least").alias("end"))
+    alike = alike.unionByName(linked).join(points.select("point", "n"), "point").select("point", "end", "n")
+    links = tried(bands.select("point", F.explode(F.array("low", "high")).alias("end"), "n").unionByName(alike), "ends")
+
+    open_ = named(links, "after-ends")
+    weight = bands.groupBy("point").agg(F.sum("size").alias("weight"))
+    heads = open_.join(weight, "point").groupBy("key").agg(F.max_by("point", F.struct("weight", "point")).alias("end"))
+    links = scratch.table(links.unionByName(tried(open_.join(heads, "key").select("point", "end", "n"), "heads")), "ends-and-heads")
+
+    left = named(links, "after-heads").select("key", "point", "component").join(points.select("point", "set", "keys"), "point")
+    links = scratch.table(links.unionByName(_within(left, least)), "all-links")
+    found = connected_components(links, scratch)
     joined = sketches.select("row", "h1", "h2").join(sets, ["h1", "h2"]).join(found.withColumnRenamed("node", "point"), "point", "left")
     return joined.select("row", F.coalesce("component", "point").alias("component"))
 
