@@ -64,9 +64,14 @@ class Config:
 _NAMES = "transform({}.symbols, x -> concat(x.symbol, if(x.scopes is null, '', '/')))"
 
 
+_SYMBOLS_NOW, _ASKED, _DEPTH = _NAMES.format("sym_post"), _NAMES.format("sym_pre"), "(size(sym_post.symbols) - size(sym_pre.symbols))"
+
+
 def _visit(low: str = "depth") -> str:
     """The trail with an entry for the row's end: stack, size of the precondition, and the lowest depth since."""
-    return f"array_append(transform(trail, t -> struct(t.node as node, t.symbols as symbols, t.pre as pre, t.depth as depth, least(t.low, {low}) as low)), struct(end_nid as node, {_NAMES.format('sym_post')} as symbols, size(sym_pre.symbols) as pre, size(sym_post.symbols) - size(sym_pre.symbols) as depth, size(sym_post.symbols) - size(sym_pre.symbols) as low))"
+    earlier = f"transform(trail, t -> struct(t.node as node, t.symbols as symbols, t.pre as pre, t.depth as depth, least(t.low, {low}) as low))"
+    now = f"struct(end_nid as node, {_SYMBOLS_NOW} as symbols, size(sym_pre.symbols) as pre, {_DEPTH} as depth, {_DEPTH} as low)"
+    return f"array_append({earlier}, {now})"
 
 
 def _circles(ground: bool) -> Column:
@@ -76,9 +81,10 @@ def _circles(ground: bool) -> Column:
     lie on the stack instead. Repeating is possible if both agree as far as they go. A ground path may only go round while
     that makes its stack shorter.
     """
-    taken = f"slice(concat(t.symbols, slice({_NAMES.format('sym_pre')}, t.pre + 1, greatest(size(sym_pre.symbols) - t.pre, 0))), 1, least(t.depth - t.low, size(sym_post.symbols) - size(sym_pre.symbols) - t.low))"
-    left = f"slice({_NAMES.format('sym_post')}, 1, least(t.depth - t.low, size(sym_post.symbols) - size(sym_pre.symbols) - t.low))"
-    longer = "and size(sym_post.symbols) - size(sym_pre.symbols) >= t.depth" if ground else ""
+    far = f"least(t.depth - t.low, {_DEPTH} - t.low)"
+    asked = f"slice({_ASKED}, t.pre + 1, greatest(size(sym_pre.symbols) - t.pre, 0))"
+    taken, left = f"slice(concat(t.symbols, {asked}), 1, {far})", f"slice({_SYMBOLS_NOW}, 1, {far})"
+    longer = f"and {_DEPTH} >= t.depth" if ground else ""
     return F.expr(f"exists(slice(trail, 1, size(trail) - 1), t -> t.node = end_nid {longer} and {taken} = {left})")
 
 
@@ -92,7 +98,9 @@ def _unseen(new: DataFrame, seen: DataFrame | None, key: list[str], joins: DataF
     new = new.withColumns({"h1": F.xxhash64(*state), "h2": F.xxhash64(F.lit(1), *state)}).drop("apart")
     if seen is not None:
         new = new.join(seen, ["h1", "h2"], "left_anti")
-    best = new.groupBy("h1", "h2").agg(F.max_by(F.struct(*[c for c in new.columns if c not in ("h1", "h2")]), F.struct(F.transform("edges", lambda e: e["precedence"]), F.transform("edges", lambda e: e["source"]))).alias("r"))
+    row = F.struct(*[c for c in new.columns if c not in ("h1", "h2")])
+    rank = F.struct(F.transform("edges", lambda e: e["precedence"]), F.transform("edges", lambda e: e["source"]))
+    best = new.groupBy("h1", "h2").agg(F.max_by(row, rank).alias("r"))
     return best.select("h1", "h2", "r.*")
 
 
@@ -177,7 +185,9 @@ def _append_edges(frontier: DataFrame, steps: DataFrame, keep: list[str], same:
     if same:
         on &= F.col(same[0]) == F.col(same[1])
     rows = rows.join(steps.withColumn("e_offer", F.explode(offers)), on).where(made["ok"])
-    rows = rows.select(*keep, "start_nid", "trail", F.col("n_nid").alias("end_nid"), F.array_append("edges", F.struct(F.col("e_source").alias("source"), F.col("e_precedence").alias("precedence"))).alias("edges"), *[made[c].alias(c) for c in _STATE], F.col("n_kind").alias("kind"))
+    edge = F.struct(F.col("e_source").alias("source"), F.col("e_precedence").alias("precedence"))
+    after = [F.col("n_nid").alias("end_nid"), F.array_append("edges", edge).alias("edges"), *[made[c].alias(c) for c in _STATE]]
+    rows = rows.select(*keep, "start_nid", "trail", *after, F.col("n_kind").alias("kind"))
     low = F.expr("size(sym_post.symbols) - size(sym_pre.symbols) - if(kind like 'push%', 1, 0)")
     return stacks.resolve_jump(rows.withColumn("low_mark", low)).drop("kind")
 
