@@ -143,6 +143,6 @@ def test_empty_pages(spark):
 def test_lines_of_one_document_count_once(spark):
     logged = "\n".join(f"user {n} logged in from {c} today" for n, c in (("ann", "rome"), ("bob", "oslo"), ("cid", "bonn")))
     docs = spark.createDataFrame([(1, logged, "x"), (2, logged.replace("ann", "dan"), "x")], "doc_id long, text string, extra string")
-    assert {r.doc_id: r.n_dropped for r in line_dedup.drop_recurring_lines(docs).collect()} == {1: 0, 2: 0}
+    assert {r.doc_id: r.n_dropped for r in line_dedup.drop_recurring_lines(docs, depth=1).collect()} == {1: 0, 2: 0}
     third = spark.createDataFrame([(3, "user eve logged in from kiel today", "x")], docs.schema)
-    assert {r.doc_id: r.n_dropped for r in line_dedup.drop_recurring_lines(docs.union(third)).collect()} == {1: 3, 2: 3, 3: 1}
+    assert {r.doc_id: r.n_dropped for r in line_dedup.drop_recurring_lines(docs.union(third), depth=1).collect()} == {1: 3, 2: 3, 3: 1}
