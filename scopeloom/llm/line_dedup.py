@@ -134,7 +134,9 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, min_docs: int = 3, lea
     # the documents with hits grow with the corpus: one plan for every size
     joined = text.join(hits.hint("merge"), (F.col("_k") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))  # by a hash set, in order
-    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    # the lines are bound once: inside of a lambda an expression would be worked out for each place
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("drop"))  # noqa: E731  (by a hash set, in order)
+    rest = F.get(F.transform(F.array(lines), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n")), F.lit(0))
+    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(rest)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     return joined.select("doc_id", n_lines.alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"), kept.alias("kept_text"))

@@ -151,10 +151,15 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
 
     def tried(ends: DataFrame, name: str) -> DataFrame:
         """Links among (point, end, n): each pair once, if its sizes allow it."""
-        both = ends.where("point <> end").distinct().join(points.select(F.col("point").alias("end"), F.col("n").alias("m")), "end")
+        both = ends.distinct().join(points.select(F.col("point").alias("end"), F.col("n").alias("m")), "end")
         both = both.where(sizes(F.col("n"), F.col("m"))).select(F.least("point", "end").alias("a"), F.greatest("point", "end").alias("b")).distinct()
         return scratch.table(_verified(both, shingled, least), name)
 
+    def often(ends: DataFrame) -> DataFrame:
+        """Points that meet an end in several bands: similar texts do so in 13 of 32, texts with some lines in common in one or two.
+        This only spares comparisons: what it leaves out is compared in the end."""
+        return ends.where("point <> end").groupBy("point", "end", "n").agg(F.count("*").alias("bands")).where(F.col("bands") >= 3).drop("bands")
+
     def named(links: DataFrame, name: str) -> DataFrame:
         """Bands with the components of their points, those alone that have several."""
         found = connected_components(links, Scratch(scratch.spark, f"near-{name}"))
@@ -167,12 +172,12 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
     linked = linked.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("end")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("point")), "b").select("point", "end")
     alike = points.select("point", "fp").join(prints, "fp").where("point <> least").select("point", F.col("least").alias("end"))
     alike = alike.unionByName(linked).join(points.select("point", "n"), "point").select("point", "end", "n")
-    links = tried(bands.select("point", F.explode(F.array("low", "high")).alias("end"), "n").unionByName(alike), "ends")
+    links = tried(often(bands.select("point", F.explode(F.array("low", "high")).alias("end"), "n")).unionByName(alike), "ends")
 
     open_ = named(links, "after-ends")
     weight = bands.groupBy("point").agg(F.sum("size").alias("weight"))
     heads = open_.join(weight, "point").groupBy("key").agg(F.max_by("point", F.struct("weight", "point")).alias("end"))
-    links = scratch.table(links.unionByName(tried(open_.join(heads, "key").select("point", "end", "n"), "heads")), "ends-and-heads")
+    links = scratch.table(links.unionByName(tried(often(open_.join(heads, "key").select("point", "end", "n")), "heads")), "ends-and-heads")
 
     left = named(links, "after-heads").select("key", "point", "component").join(points.select("point", "set", "keys"), "point")
     links = scratch.table(links.unionByName(_within(left, least)), "all-links")
