@@ -91,14 +91,34 @@ def _common(x: list[np.ndarray], y: list[np.ndarray], width: int = 8_192) -> np.
     return out
 
 
-def _within(groups: DataFrame, least: float, block: int = 256) -> DataFrame:
-    """Links (a, b) that join the points of each band (``key``, ``point``, ``component``, ``set``, ``keys``) as those of all pairs
-    of different components would. A band of any size is cut into blocks, and each pair of blocks is a task; a pair is compared
-    in the first band that it shares. A task returns one link per point it joins, not the pairs."""
+def _blocks(groups: DataFrame, columns: list[str], block: int = 256) -> DataFrame:
+    """Bands (``key``) of any size cut into blocks, a row for each pair of blocks (i, j) that a point (of block ``own``) is in."""
     sizes = groups.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")
     dealt = groups.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "point", "component", "set", "keys")
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
+
+
+def _related(groups: DataFrame) -> DataFrame:
+    """(key, point) of a band's points that share another band too with a point of another component. A pair of similarity 0.8
+    shares one band alone with a probability of 1.1e-6; most points that meet by chance do, and their sets need not be sent."""
+
+    def find(key, t):
+        point, component, own = (t.column(c).to_numpy() for c in ("point", "component", "own"))
+        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(point), BANDS)
+        x, y = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+        hit = ((keys[x][:, None, :] == keys[y][None, :, :]).sum(2) > 1) & (component[x][:, None] != component[y][None, :])
+        found = np.union1d(point[x[hit.any(1)]], point[y[hit.any(0)]])
+        return pa.table({"key": pa.array(np.full(len(found), key[0].as_py(), np.int64)), "point": pa.array(found.astype(np.int64))})
+
+    return _blocks(groups, ["point", "component", "keys"]).groupBy("key", "i", "j").applyInArrow(find, "key long, point long").distinct()
+
+
+def _within(groups: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join the points of each band (``key``, ``point``, ``component``, ``set``, ``keys``) as those of all pairs
+    of different components would. A pair is compared in the first band that it shares. A task returns one link per point it
+    joins, not the pairs."""
+    dealt = _blocks(groups, ["point", "component", "set", "keys"])
 
     def compare(key, t):
         band, i, j = (k.as_py() for k in key)
@@ -179,8 +199,9 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
     heads = open_.join(weight, "point").groupBy("key").agg(F.max_by("point", F.struct("weight", "point")).alias("end"))
     links = scratch.table(links.unionByName(tried(often(open_.join(heads, "key").select("point", "end", "n")), "heads")), "ends-and-heads")
 
-    left = named(links, "after-heads").select("key", "point", "component").join(points.select("point", "set", "keys"), "point")
-    links = scratch.table(links.unionByName(_within(left, least)), "all-links")
+    left = scratch.table(named(links, "after-heads").select("key", "point", "component").join(points.select("point", "keys"), "point"), "open")
+    related = left.join(_related(left), ["key", "point"], "left_semi")
+    links = scratch.table(links.unionByName(_within(related.join(shingled, "point"), least)), "all-links")
     found = connected_components(links, scratch)
     joined = sketches.select("row", "h1", "h2").join(sets, ["h1", "h2"]).join(found.withColumnRenamed("node", "point"), "point", "left")
     return joined.select("row", F.coalesce("component", "point").alias("component"))
