@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash_vp
-from .common import Scratch, carried, connected_components, ship, uncarried
+from .common import Scratch, broadcast_if_small, carried, connected_components, ship, uncarried
 
 ship(__name__)
 
@@ -38,30 +38,48 @@ def signature(hashes: np.ndarray, block: int = 2_048) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles."""
+    import xxhash
+
+    return np.array(sorted(xxhash.xxh64_intdigest(s, 42) for s in shingles(text, words)), np.uint64)
+
+
 def _sketches(rows: DataFrame, words: int) -> DataFrame:
-    """Per row: number of distinct shingles, two hashes of their set, its SimHash, the bands' keys and the shingles' hashes."""
+    """Per row: number of distinct shingles, two hashes of their set, its SimHash and the bands' keys."""
 
     def run(batches):
         import xxhash
 
         for b in batches:
-            n, h1, h2, fp, keys, sets = [], [], [], [], [], []
+            n, h1, h2, fp, keys = [], [], [], [], []
             for t in b.column(1).to_pylist():
-                h = np.array(sorted(xxhash.xxh64_intdigest(s, 42) for s in shingles(t, words)), np.uint64)
+                h = _hashes(t, words)
                 n.append(len(h))
-                sets.append(h.view(np.int64))
                 raw = h.tobytes()
                 h1.append(xxhash.xxh64_intdigest(raw, 1)), h2.append(xxhash.xxh64_intdigest(raw, 2))
                 fp.append(simhash_vp.majority([h], len(h)) if len(h) else 0)
                 keys.append(signature(h) if len(h) else np.zeros(BANDS, np.int64))
             flat = pa.array(np.concatenate(keys)) if keys else pa.array([], pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * BANDS, BANDS, dtype=np.int32)), flat)
-            ends = np.r_[0, np.cumsum(n)].astype(np.int32)
-            whole = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             hashed = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2, fp)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *hashed, lists, whole], ["row", "n", "h1", "h2", "fp", "keys", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *hashed, lists], ["row", "n", "h1", "h2", "fp", "keys"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, n long, h1 long, h2 long, fp long, keys array<long>")
+
+
+def _sets(rows: DataFrame, wanted: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
+    """(point, set) of the rows in ``wanted`` (point): their shingles' hashes, made of the texts again. Sets are larger than most
+    texts and few are compared, so they are neither kept nor sent for the others."""
+
+    def run(batches):
+        for b in batches:
+            sets = [_hashes(t, words).view(np.int64) for t in b.column(1).to_pylist()]
+            ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["point", "set"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, n long, h1 long, h2 long, fp long, keys array<long>, set array<long>")
+    ids = scratch.table(wanted.select(F.col("point").alias("row")).distinct(), f"{name}-wanted")
+    return scratch.table(rows.select("row", "text").join(broadcast_if_small(ids), "row", "left_semi").select("row", "text").mapInArrow(run, "point long, set array<long>"), f"{name}-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -100,14 +118,16 @@ def _blocks(groups: DataFrame, columns: list[str], block: int = 256) -> DataFram
 
 
 def _related(groups: DataFrame) -> DataFrame:
-    """(key, point) of a band's points that share another band too with a point of another component. A pair of similarity 0.8
-    shares one band alone with a probability of 1.1e-6; most points that meet by chance do, and their sets need not be sent."""
+    """(key, point) of a band's points that share another band too with a point of another component, in the first band of the
+    pair, which is where ``_within`` compares it. A pair of similarity 0.8 shares one band alone with a probability of 1.1e-6;
+    most points that meet by chance do, and their sets need not be sent."""
 
     def find(key, t):
         point, component, own = (t.column(c).to_numpy() for c in ("point", "component", "own"))
         keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(point), BANDS)
         x, y = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
-        hit = ((keys[x][:, None, :] == keys[y][None, :, :]).sum(2) > 1) & (component[x][:, None] != component[y][None, :])
+        same = keys[x][:, None, :] == keys[y][None, :, :]
+        hit = (same.sum(2) > 1) & (same.argmax(2) == (keys[x] == key[0].as_py()).argmax(1)[:, None]) & (component[x][:, None] != component[y][None, :])
         found = np.union1d(point[x[hit.any(1)]], point[y[hit.any(0)]])
         return pa.table({"key": pa.array(np.full(len(found), key[0].as_py(), np.int64)), "point": pa.array(found.astype(np.int64))})
 
@@ -157,23 +177,27 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
     of copies by few comparisons; then, of each band that is still in several classes, the point that shares most with others,
     which joins the variants of one text. Last, all pairs of such a band that are in different classes are compared, block by
     block (``_within``), so the classes are those of all pairs. Each candidate is decided by its shingles, named by 64-bit
-    hashes. (SimHash alone would need a reach of some 16 bits for a similarity of 0.8, where triangle bounds prune nothing.)
+    hashes, which are made for the candidates' texts only. (SimHash alone would need a reach of some 16 bits for a similarity of 0.8, where triangle bounds prune nothing.)
     Only groups of texts that are alike but below ``least`` cost all their pairs. Texts without words are one class.
     """
     sketches = scratch.table(_sketches(rows, words), "sketches")
     sets = scratch.table(sketches.groupBy("h1", "h2").agg(F.min("row").alias("point")), "sets")
     points = sketches.where("n > 0").join(sets.select(F.col("point").alias("row")), "row", "left_semi").withColumnRenamed("row", "point")
+    points = scratch.table(points.drop("h1", "h2"), "points")
     bands = scratch.table(points.select("point", "n", F.explode("keys").alias("key")), "bands")
     shared = bands.groupBy("key").agg(F.min("point").alias("low"), F.max("point").alias("high"), F.count("*").alias("size")).where("low < high")
     bands = scratch.table(bands.join(shared, "key"), "shared")
-    shingled = points.select("point", "set")
     sizes = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9
 
     def tried(ends: DataFrame, name: str) -> DataFrame:
         """Links among (point, end, n): each pair once, if its sizes allow it."""
         both = ends.distinct().join(points.select(F.col("point").alias("end"), F.col("n").alias("m")), "end")
         both = both.where(sizes(F.col("n"), F.col("m"))).select(F.least("point", "end").alias("a"), F.greatest("point", "end").alias("b")).distinct()
-        return scratch.table(_verified(both, shingled, least), name)
+        both = scratch.table(both, f"{name}-pairs")
+        shingled = _sets(rows, both.select(F.explode(F.array("a", "b")).alias("point")), words, scratch, name)
+        links = scratch.table(_verified(both, shingled, least), name)
+        scratch.drop(f"{name}-sets")
+        return links
 
     def often(ends: DataFrame) -> DataFrame:
         """Points that meet an end in several bands: similar texts do so in 13 of 32, texts with some lines in common in one or two.
@@ -200,8 +224,10 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
     links = scratch.table(links.unionByName(tried(often(open_.join(heads, "key").select("point", "end", "n")), "heads")), "ends-and-heads")
 
     left = scratch.table(named(links, "after-heads").select("key", "point", "component").join(points.select("point", "keys"), "point"), "open")
-    related = left.join(_related(left), ["key", "point"], "left_semi")
+    related = scratch.table(left.join(_related(left), ["key", "point"], "left_semi"), "related")
+    shingled = _sets(rows, related, words, scratch, "related")
     links = scratch.table(links.unionByName(_within(related.join(shingled, "point"), least)), "all-links")
+    scratch.drop("related-sets")
     found = connected_components(links, scratch)
     joined = sketches.select("row", "h1", "h2").join(sets, ["h1", "h2"]).join(found.withColumnRenamed("node", "point"), "point", "left")
     return joined.select("row", F.coalesce("component", "point").alias("component"))

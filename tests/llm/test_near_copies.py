@@ -1,6 +1,7 @@
 """The pipeline's near-copy stage against the Jaccard similarity of all pairs."""
 
 import random
+from pathlib import Path
 
 from scopeloom.llm import near_copies
 
@@ -61,3 +62,20 @@ def test_one_row_of_each_class_stays(spark):
     got = near_copies.drop_near_copies(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (1, b), (0, c), (3, "")])
     assert len(got) == len(brute_kept(rows))
+
+
+def test_sets_of_shingles_are_written_for_candidates_only(spark, monkeypatch):
+    """Texts that meet no other leave their sketch behind, not their shingles, which take more room than the text itself."""
+    rng, written, table = random.Random(1), {}, near_copies.Scratch.table
+
+    def measured(self, df, name, *more):
+        out = table(self, df, name, *more)
+        written[name] = sum(f.stat().st_size for f in Path(f"{self.base}/{name}".removeprefix("file://")).rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(near_copies.Scratch, "table", measured)
+    texts = [" ".join(rng.choice("abcdefghij") + rng.choice("klmnopqrst") for _ in range(2000)) for _ in range(60)]
+    rows = [(i, t, "s") for i, t in enumerate([*texts, texts[7] + " end", texts[8] + " end"])]
+    got = sorted(r.doc_id for r in near_copies.drop_near_copies(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect())
+    assert got == list(range(60))
+    assert sum(size for name, size in written.items() if name != "rows") < 60 * 2000 * 8 / 3
