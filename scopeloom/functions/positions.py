@@ -82,14 +82,48 @@ def grapheme_starts(s: Column) -> Column:
     return F.when(simple, F.when(F.length(s) > 0, F.sequence(F.lit(0), F.length(s) - 1)).otherwise(F.array().cast("array<int>"))).otherwise(F.pandas_udf(_boundaries, "array<int>")(F.when(~simple, s)))
 
 
+#: Characters that are each a cluster of their own next to any other of them: what isn't here is left to ``regex``.
+_ALONE = r"[\x00-\x0C\x0E-\u02FF\u0370-\u0482\u048A-\u058F\u2010-\u2027\u3001-\u3029\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]*"
+
+
+def _char_ends(batches):
+    """Of (key, text) a row for each character and one for the end: bytes, UTF-16 units and clusters begun before. Some texts at
+    a time, so that what waits in memory doesn't grow with a batch."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+    import regex
+
+    alone, made = re.compile(_ALONE), ["i", "utf8", "utf16", "grapheme"]
+    for b in batches:
+        for lo in range(0, b.num_rows, 128):
+            part = b.slice(lo, 128)
+            sums, sizes = {c: [] for c in made}, []
+            for t in part.column(1).to_pylist():
+                first = np.frombuffer(t.encode("utf-8"), np.uint8)
+                at = np.flatnonzero((first & 0xC0) != 0x80)
+                starts = np.ones(len(at), np.int32)
+                if not alone.fullmatch(t):
+                    starts[:] = 0
+                    starts[[m.start() for m in regex.finditer(r"\X", t)]] = 1
+                sizes.append(len(at) + 1)
+                sums["i"].append(np.arange(len(at) + 1))
+                sums["utf8"].append(np.append(at, len(first)))
+                sums["utf16"].append(np.append(0, np.cumsum(1 + (first[at] >= 0xF0))))
+                sums["grapheme"].append(np.append(0, np.cumsum(starts)))
+            owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(owner), *[pa.array(np.concatenate(sums[c]).astype(np.int32)) for c in made]], [b.schema.names[0], *made])
+
+
 def all_chars(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, i, utf8, utf16, grapheme) of every character of a line and of its end: what comes before it. Inside of a cluster
-    the cluster counts as begun."""
-    rows = df.select(key, F.col(text).alias("t"), grapheme_starts(F.col(text)).alias("starts"))
-    rows = rows.select(key, "t", "starts", F.explode(F.sequence(F.lit(0), F.length("t"))).alias("i"))
-    before = F.substring(F.col("t"), F.lit(1), F.col("i"))
-    begun = F.size(F.filter("starts", lambda x: x < F.col("i")))
-    return rows.select(key, "i", utf8_len(before).alias("utf8"), utf16_len(before).alias("utf16"), begun.alias("grapheme"))
+    the cluster counts as begun. Work grows with the length: ASCII text without CR-LF needs its numbers alone, other text has
+    all its offsets summed in one pass."""
+    t, i = F.col(text), F.col("i")
+    plain = (F.octet_length(t) == F.length(t)) & ~F.contains(t, F.lit("\r\n"))
+    numbered = df.where(plain).select(key, F.explode(F.sequence(F.lit(0), F.length(t))).alias("i")).select(key, "i", *[i.alias(c) for c in ("utf8", "utf16", "grapheme")])
+    return numbered.unionByName(df.where(~plain).select(key, text).mapInArrow(_char_ends, numbered.schema))
 
 
 def _bytes(s: Column, start: Column, length: Column | None = None) -> Column:
