@@ -105,4 +105,5 @@ def join_paths(frontier: DataFrame, table: DataFrame) -> DataFrame:
     post = f"cast(struct({left} as symbols, cast(null as int) as variable) as {SYMBOLS})"
     edges = F.concat("edges", "p_edges").alias("edges")
     made = [F.expr(post).alias("sym_post"), F.expr(ground.format("p_sco")).alias("sco_post"), F.size("rest").alias("low_mark")]
-    return resolve_jump(both.select("file", "start_nid", "trail", F.col("p_end").alias("end_nid"), edges, "sym_pre", "sco_pre", *made))
+    turn = [c for c in ("turn",) if c in frontier.columns]
+    return resolve_jump(both.select("file", *turn, "start_nid", "trail", F.col("p_end").alias("end_nid"), edges, "sym_pre", "sco_pre", *made))
