@@ -108,7 +108,7 @@ def shadow_all(spark, sf_dir):
 def alias_chain(spark, sf_dir):
     nodes, edges = ad.alias(spark, sf_dir)
     s = Scratch(spark, "alias")
-    nodes, edges = s.table(nodes, "nodes"), s.table(edges, "edges")
+    nodes, edges = s.joined(nodes, "nodes"), s.joined(edges, "edges")
     found = resolve_edges(nodes, edges)
     return _answers(found.where("start_nid <> end_nid"), nodes).withColumn("k", _local("start_nid")).where("k % 3 = 0").select((F.col("k") / 3).cast("bigint").alias("part"), F.col("symbol").alias("target"))
 

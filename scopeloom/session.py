@@ -36,6 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+#: Bytes of files up to which Spark may broadcast a table.
+PACKED = 256_000
+
+
 class Scratch:
     """Written tables of one run. ``drop`` frees those no longer needed; the rest go at the session's end."""
 
@@ -55,6 +59,18 @@ class Scratch:
             self.spark.conf.unset(_CLEAN_UP) if before is None else self.spark.conf.set(_CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def joined(self, df: DataFrame, name: str) -> DataFrame:
+        """``table``, for a table that is joined: never sent whole to the driver if it is large (``sized``)."""
+        return self.sized(self.table(df, name), [name])
+
+    def sized(self, df: DataFrame, names: list[str]) -> DataFrame:
+        """Spark takes the bytes of a table's files for its size, and ids and flags pack to a two-hundredth: over ``PACKED`` bytes
+        of files, joins with ``df`` are by shuffle."""
+        context = self.spark.sparkContext
+        paths = [context._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{n}") for n in names]
+        packed = sum(p.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(p).getLength() for p in paths)
+        return df.hint("merge") if packed > PACKED else df
+
     def read(self, names: list[str], like: DataFrame) -> DataFrame:
         """The columns of ``like`` from several tables, as one scan."""
         return self.spark.read.schema(like.schema).parquet(*[f"{self.base}/{n}" for n in names])
