@@ -56,6 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = _table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
-    for name, stage in STAGES[:-1]:
+    before = None
+    for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return scratch.table(STAGES[-1][1](spark, docs, sf_dir), "shards")
+        if before:
+            scratch.drop(before)
+        before = name.replace(" ", "-")
+    return docs

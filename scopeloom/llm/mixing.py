@@ -127,7 +127,8 @@ def repeat_documents(docs: DataFrame, target_entropy: float = 0.95, max_repeats:
     dealt = scratch.table(block_permutation(rows, plan, scratch, **options), "mixed")
     last = plan.select("_source", (F.ceil(F.col("repeats") - 1e-9).cast("int") - 1).alias("last"))
     cut = _joined(dealt, last).where("epoch = last").groupBy("_source").agg(F.max("h").alias("cut"))
-    limits = scratch.table(last.join(cut, "_source", "left"), "limits")
+    limits = Scratch(docs.sparkSession, "mixing").table(last.join(cut, "_source", "left"), "limits")
+    scratch.drop()
     text = carried(docs, [id_col, text_col], docs.columns).toDF("_id", "_body", "_kept")
     source = F.coalesce(F.concat(F.lit("="), F.col("_kept").getField(source_col).cast("string")), F.lit("null"))
     each = _joined(text.select("_id", "_kept", source.alias("_source"), F.md5(F.coalesce("_body", F.lit("")).cast("binary")).alias("_text")), limits)

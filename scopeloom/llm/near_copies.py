@@ -68,6 +68,18 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, n long, h1 long, h2 long, fp long, keys array<long>")
 
 
+def _numbered(rows: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows whose number (``row``) is in ``wanted``, without a shuffle of their texts: numbers of neighbouring rows are sent as
+    one string of bits. A row costs a bit or so, where ids of eight bytes soon are too many to be sent to every task. Over
+    ``BROADCAST_BYTES`` of bits, Spark chooses a shuffle join."""
+    at = F.bitmap_bit_position("row")
+    bits = wanted.groupBy(F.bitmap_bucket_number("row").alias("_bucket")).agg(F.bitmap_construct_agg(at).alias("bits"), F.max(at).alias("last"))
+    bits = scratch.table(bits.select("_bucket", F.substring("bits", F.lit(1), F.floor(F.col("last") / 8).cast("int") + 1).alias("_bits")), name)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(F.coalesce(byte, F.lit(0)), (at % 8).cast("int")) == 1
+    return rows.join(broadcast_if_small(bits), (F.bitmap_bucket_number("row") == F.col("_bucket")) & hit, "left_semi")
+
+
 def _sets(rows: DataFrame, wanted: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
     """(point, set) of the rows in ``wanted`` (point): their shingles' hashes, made of the texts again. Sets are larger than most
     texts and few are compared, so they are neither kept nor sent for the others."""
@@ -78,8 +90,8 @@ def _sets(rows: DataFrame, wanted: DataFrame, words: int, scratch: Scratch, name
             ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["point", "set"])
 
-    ids = scratch.table(wanted.select(F.col("point").alias("row")).distinct(), f"{name}-wanted")
-    return scratch.table(rows.select("row", "text").join(broadcast_if_small(ids), "row", "left_semi").select("row", "text").mapInArrow(run, "point long, set array<long>"), f"{name}-sets")
+    found = _numbered(rows.select("row", "text"), wanted.select(F.col("point").alias("row")), scratch, f"{name}-wanted")
+    return scratch.table(found.mapInArrow(run, "point long, set array<long>"), f"{name}-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -178,7 +190,8 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
     which joins the variants of one text. Last, all pairs of such a band that are in different classes are compared, block by
     block (``_within``), so the classes are those of all pairs. Each candidate is decided by its shingles, named by 64-bit
     hashes, which are made for the candidates' texts only. (SimHash alone would need a reach of some 16 bits for a similarity of 0.8, where triangle bounds prune nothing.)
-    Only groups of texts that are alike but below ``least`` cost all their pairs. Texts without words are one class.
+    Only groups of texts that are alike but below ``least`` cost all their pairs. Texts without words are one class. What
+    ``scratch`` holds is needed until the result is written.
     """
     sketches = scratch.table(_sketches(rows, words), "sketches")
     sets = scratch.table(sketches.groupBy("h1", "h2").agg(F.min("row").alias("point")), "sets")
@@ -187,6 +200,7 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
     bands = scratch.table(points.select("point", "n", F.explode("keys").alias("key")), "bands")
     shared = bands.groupBy("key").agg(F.min("point").alias("low"), F.max("point").alias("high"), F.count("*").alias("size")).where("low < high")
     bands = scratch.table(bands.join(shared, "key"), "shared")
+    scratch.drop("bands")
     sizes = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9
 
     def tried(ends: DataFrame, name: str) -> DataFrame:
@@ -206,9 +220,11 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
 
     def named(links: DataFrame, name: str) -> DataFrame:
         """Bands with the components of their points, those alone that have several."""
-        found = connected_components(links, Scratch(scratch.spark, f"near-{name}"))
+        own = Scratch(scratch.spark, f"near-{name}")
+        found = connected_components(links, own)
         each = bands.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("component", F.coalesce("component", "point"))
         each = scratch.table(each, name)
+        own.drop()
         return each.join(each.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key"), "key")
 
     prints = scratch.table(points.groupBy("fp").agg(F.min("point").alias("least")), "prints")
@@ -224,6 +240,8 @@ def classes(rows: DataFrame, scratch: Scratch, least: float = 0.8, words: int =
     links = scratch.table(links.unionByName(tried(often(open_.join(heads, "key").select("point", "end", "n")), "heads")), "ends-and-heads")
 
     left = scratch.table(named(links, "after-heads").select("key", "point", "component").join(points.select("point", "keys"), "point"), "open")
+    for done in ("points", "shared", "after-ends", "after-heads", "prints", "routed"):
+        scratch.drop(done)
     related = scratch.table(left.join(_related(left), ["key", "point"], "left_semi"), "related")
     shingled = _sets(rows, related, words, scratch, "related")
     links = scratch.table(links.unionByName(_within(related.join(shingled, "point"), least)), "all-links")
@@ -238,10 +256,11 @@ def drop_near_copies(docs: DataFrame, least: float = 0.8, words: int = 5) -> Dat
     the smallest number of the row in a written copy of ``docs``. Repeated rows and ids are rows like any other; texts without
     words, null or empty, are one class. Very long texts: memory grows with their shingles. Empty table: empty result.
     Further columns of any name are kept."""
-    scratch = Scratch(docs.sparkSession, "near-copies")
-    rows = scratch.table(carried(docs, ["doc_id", "text"], docs.columns).withColumn("row", F.monotonically_increasing_id()), "rows")
-    keyed = rows.select("row", "doc_id", "text")
-    named = classes(keyed, scratch, least, words).join(keyed.select("row", "doc_id", F.xxhash64("text").alias("t")), "row")
+    scratch, found = Scratch(docs.sparkSession, "near-copies"), Scratch(docs.sparkSession, "near-classes")
+    rows = scratch.table(carried(docs, [], docs.columns).withColumn("row", F.monotonically_increasing_id()), "rows")
+    keyed = rows.select("row", *[F.col("_kept").getField(c).alias(c) for c in ("doc_id", "text")])  # each text is written once
+    named = classes(keyed, found, least, words).join(keyed.select("row", "doc_id", F.xxhash64("text").alias("t")), "row")
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "row")).alias("first"))
-    kept = scratch.table(first.select(F.col("first.row").alias("row")), "kept")
-    return uncarried(rows.join(kept, "row", "left_semi"), [], docs.columns, [])
+    kept = _numbered(rows, first.select(F.col("first.row").alias("row")), scratch, "kept")
+    found.drop()
+    return uncarried(kept, [], docs.columns, [])

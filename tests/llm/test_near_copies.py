@@ -3,7 +3,9 @@
 import random
 from pathlib import Path
 
-from scopeloom.llm import near_copies
+import corpus_pipeline
+from scopeloom.llm import mixing, near_copies
+from scopeloom.llm.common import shared_dir
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -79,3 +81,53 @@ def test_sets_of_shingles_are_written_for_candidates_only(spark, monkeypatch):
     got = sorted(r.doc_id for r in near_copies.drop_near_copies(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect())
     assert got == list(range(60))
     assert sum(size for name, size in written.items() if name != "rows") < 60 * 2000 * 8 / 3
+
+
+def left_behind(spark):
+    return {str(f) for f in Path(shared_dir(spark).removeprefix("file://")).glob("*/*")}
+
+
+def test_texts_are_neither_shuffled_nor_kept_twice(spark):
+    """Whether or not Spark would broadcast the ids of the rows that stay: rows are told apart where they lie."""
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.random()) for _ in range(200)) for _ in range(90)]
+    rows = [(i, t, "s") for i, t in enumerate([*texts, *[t + " end" for t in texts[::9]]])]
+    docs, before = spark.createDataFrame(rows, SCHEMA).repartition(3), left_behind(spark)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = near_copies.drop_near_copies(docs)
+        made = left_behind(spark) - before
+        assert sorted(r.doc_id for r in out.collect()) == list(range(90))
+        assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {Path(f).name for f in made} == {"rows", "kept"}
+    names = [spark.read.parquet(f).columns for f in made if f.endswith("/rows")]
+    assert names == [["_kept", "row"]]
+
+
+def test_numbers_of_rows_as_bits(spark):
+    """Rows of several partitions, at the ends of the strings of bits, and of numbers that none of the wanted share a string with."""
+    numbers = [0, 1, 2, 8, 9, 32768, 32769, 40000, 65537, (1 << 33) - 1, 1 << 33, (1 << 33) + 1, (5 << 33) + 7, (9 << 33) + 32767]
+    scratch = near_copies.Scratch(spark, "bits")
+    rows = spark.createDataFrame([(n,) for n in numbers], "row long")
+    for k, wanted in enumerate(([], numbers[::2], numbers[1::2], numbers, [n + 1 for n in numbers])):
+        found = near_copies._numbered(rows, spark.createDataFrame([(n,) for n in [*wanted, *wanted]], "row long"), scratch, f"wanted-{k}")
+        assert sorted(r.row for r in found.collect()) == sorted({*numbers} & {*wanted})
+
+
+def test_mixing_leaves_no_tables_of_rows_behind(spark):
+    docs, before = spark.createDataFrame([(i, f"text {i}", f"s{i % 3 % 2}") for i in range(60)], SCHEMA), left_behind(spark)
+    out = mixing.repeat_documents(docs)
+    assert {Path(f).name for f in left_behind(spark) - before} == {"limits"}
+    assert {r.doc_id for r in out.collect()} == set(range(60))
+
+
+def test_a_run_keeps_the_last_table_only(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, "text", "s") for i in range(5)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, lambda _, docs, at: docs.withColumn("n", docs["doc_id"] + 1)) for name in ("one", "two stages", "three")])
+    before = left_behind(spark)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {Path(f).name for f in left_behind(spark) - before} == {"three"}
+    assert sorted(r.n for r in out.collect()) == [1, 2, 3, 4, 5]
